@@ -62,7 +62,6 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * count > n, bitorder="little").view(np.uint64)[0])
 
 
-@pandas_udf("long")
 def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
         yield pd.Series(np.array([fingerprint(t) for t in part], np.uint64).view(np.int64))
@@ -71,7 +70,7 @@ def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with ``fp``, the fingerprint as a signed long."""
     ship(docs.sparkSession)
-    return docs.withColumn("fp", _fingerprints(F.col(text_col)))
+    return docs.withColumn("fp", pandas_udf(_fingerprints, "long")(F.col(text_col)))
 
 
 def _word(x: np.ndarray) -> np.ndarray:
