@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import quality_classifier, quality_rules, simhash
+from loomgraph.llm import packing, quality_classifier, quality_rules, simhash
 
 QUERIES = {
     "op3_quality_rules": quality_rules.query,
     "op7_quality_classifier": quality_classifier.query,
     "op9_simhash": simhash.query,
+    "op10_packing": packing.query,
 }
 ORACLES: dict[str, str] = {}
