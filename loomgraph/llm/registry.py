@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import packing, quality_classifier, quality_rules, simhash
+from loomgraph.llm import byte_bpe, packing, quality_classifier, quality_rules, simhash
 
 QUERIES = {
     "op3_quality_rules": quality_rules.query,
+    "op6_byte_bpe": byte_bpe.query,
     "op7_quality_classifier": quality_classifier.query,
     "op9_simhash": simhash.query,
     "op10_packing": packing.query,
