@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import byte_bpe, packing, quality_classifier, quality_rules, simhash
+from loomgraph.llm import byte_bpe, packing, quality_classifier, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op3_quality_rules": quality_rules.query,
     "op6_byte_bpe": byte_bpe.query,
     "op7_quality_classifier": quality_classifier.query,
+    "op8_toxicity": toxicity.query,
     "op9_simhash": simhash.query,
     "op10_packing": packing.query,
 }
