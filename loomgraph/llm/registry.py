@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import byte_bpe, packing, quality_classifier, quality_rules, simhash, toxicity
+from loomgraph.llm import byte_bpe, packing, quality_classifier, quality_rules, simhash, toxicity, warc
 
 QUERIES = {
     "op3_quality_rules": quality_rules.query,
+    "op5_warc": warc.query,
     "op6_byte_bpe": byte_bpe.query,
     "op7_quality_classifier": quality_classifier.query,
     "op8_toxicity": toxicity.query,
     "op9_simhash": simhash.query,
     "op10_packing": packing.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc": warc.ORACLE,
+}
