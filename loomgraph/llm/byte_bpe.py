@@ -24,18 +24,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from loomgraph.llm.chunks import assemble, slices
 from loomgraph.ship import ship
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Chunks and pre-tokens remembered by a worker, and the longest that is remembered.
-MEMORY, LONGEST = 250_000, 64
-SLICE = 500
+MEMORY, LONGEST = 700_000, 64
+#: Unicode's White_Space, as members of a character class.
+WHITE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def default_vocabulary() -> str:
@@ -145,12 +148,11 @@ class Codec:
         # the pattern's white space is Unicode's White_Space, spelled out here
         spelled = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.pieces = regex.compile(spelled).findall
-        self.uneven = regex.compile(r" (?:\p{White_Space}|\Z)").search
         self.cuts = regex.compile(r" (?=\P{White_Space})").finditer
         self.known: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+    def _learn(self, chunks: list[str]) -> list[bytes]:
         """Ids of `chunks`, by pre-token."""
         split = [self.pieces(c) for c in chunks]
         distinct = set().union(*split)
@@ -163,40 +165,42 @@ class Codec:
         known, entries, rank = self.known, self.entries, self.rank
         for w, b, e in zip(words, raw, self.table.find(raw), strict=True):
             known[w] = e.to_bytes(4, "little") if entries[e] == b else array("I", merge(b, rank)).tobytes()
-        out = {c: b"".join(map(known.__getitem__, s)) for c, s in zip(chunks, split, strict=True)}
+        out = [b"".join(map(known.__getitem__, s)) for s in split]
         for w in words:
             if len(w) > LONGEST:
                 del known[w]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers. `chunks` remembers a chunk without the space it begins with."""
-        split, heads = [], []
-        for t in texts:
-            if self.uneven(t) is None:
-                parts = t.split(" ")
-                heads.append(parts.pop(0))
-            else:
-                at = [m.start() for m in self.cuts(t)]
-                heads.append(t[: at[0]] if at else t)
-                parts = [t[a + 1 : b] for a, b in zip(at, [*at[1:], len(t)], strict=True)] if at else []
-            split.append(parts)
-        distinct = set().union(*split)
-        new = distinct.difference(self.chunks)
-        if len(self.chunks) + len(new) > MEMORY:
-            self.chunks.clear()
-            new = distinct
-        order = list(new)
-        own = self._learn([" " + c for c in order])
+    def _chunk_ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of chunks, given without the space they begin with."""
         chunks = self.chunks
-        chunks.update((c, own[" " + c]) for c in order)
-        first = self._learn(list(set(heads)))
-        out = [first[a] + b"".join(map(chunks.__getitem__, s)) for a, s in zip(heads, split, strict=True)]
-        for c in order:
+        new = [c for c in parts if c not in chunks]
+        if len(chunks) + len(new) > MEMORY:
+            chunks.clear()
+            new = parts
+        chunks.update(zip(new, self._learn([" " + c for c in new]), strict=True))
+        out = list(map(chunks.__getitem__, parts))
+        for c in new:
             if len(c) > LONGEST:
                 del chunks[c]
         return out
 
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts without nulls, as little-endian unsigned 32-bit integers."""
+        uneven = pc.match_substring_regex(texts, " (?:[" + WHITE + "]|\\z)").to_numpy(zero_copy_only=False)
+        even = pc.if_else(pa.array(uneven, pa.bool_()), "", texts) if uneven.any() else texts
+        split = pc.split_pattern(even, " ")
+        rest = assemble(split, self._chunk_ids, skip_first=True)
+        heads = pc.list_element(split, 0).to_pylist()
+        for i in np.flatnonzero(uneven).tolist():
+            t = texts[i].as_py()
+            at = [m.start() for m in self.cuts(t)]
+            heads[i] = t[: at[0]] if at else t
+            rest[i] = b"".join(self._chunk_ids([t[a + 1 : b] for a, b in zip(at, [*at[1:], len(t)], strict=True)])) if at else b""
+        distinct = list(set(heads))
+        first = dict(zip(distinct, self._learn(distinct), strict=True))
+        return [first[a] + b for a, b in zip(heads, rest, strict=True)]
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.entries.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -210,7 +214,7 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def _added(df: DataFrame, source: str, name: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+def _added(df: DataFrame, source: str, name: str, make: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
     """`df` with a binary column `name` made from column `source`, a slice of rows at a time."""
     ship(df.sparkSession)
     kept = [c for c in df.columns if c != name]
@@ -220,9 +224,9 @@ def _added(df: DataFrame, source: str, name: str, make: Callable[[], Callable[[l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                part = batch.slice(lo, SLICE)
-                made = f(part.column(len(kept)).to_pylist())
+            for lo, hi in slices(batch.column(len(kept))):
+                part = batch.slice(lo, hi - lo)
+                made = f(part.column(len(kept)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, pa.binary())], names=[*kept, name])
 
     return src.mapInArrow(run, schema)
@@ -231,13 +235,13 @@ def _added(df: DataFrame, source: str, name: str, make: Callable[[], Callable[[l
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """`docs` with the ids of `text_col` as little-endian unsigned 32-bit integers."""
     path, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
-    return _added(docs, text_col, ids_col, lambda: lambda texts: codec(path, pattern).encode([t or "" for t in texts]))
+    return _added(docs, text_col, ids_col, lambda: lambda texts: codec(path, pattern).encode(pc.fill_null(texts, "")))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """`df` with the bytes that `ids_col` stands for (null ids: null)."""
     path, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
-    return _added(df, ids_col, bytes_col, lambda: lambda rows: [None if x is None else codec(path, pattern).decode(x) for x in rows])
+    return _added(df, ids_col, bytes_col, lambda: lambda rows: [None if x is None else codec(path, pattern).decode(x) for x in rows.to_pylist()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,17 +25,19 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from loomgraph import scratch
+from loomgraph.llm.chunks import assemble, slices
 from loomgraph.ship import ship
 
 CAPACITY, END = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks remembered by a worker, and the longest chunk that is remembered.
-MEMORY, LONGEST = 300_000, 64
+MEMORY, LONGEST = 900_000, 64
 #: Patterns offered to the fit, and triples for each longest member.
 PATTERNS, TRIPLES = 12_000, 3
 BUCKET_ROWS, BUCKETS = 50_000, 256
@@ -47,7 +49,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+def encoder(path: str) -> Callable[[pa.Array], list[bytes]]:
     """A function from texts to ids as little-endian unsigned 32-bit integers.
 
     The vocabulary's splitter never joins characters across white space, so a
@@ -59,9 +61,11 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
+    tokenize = tok.model.tokenize
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
     memory: dict[str, bytes] = {}
     cores: dict[str, bytes] = {}
-    odd = "\x1c\x1d\x1e\x1f"
     # Latin letters then closing marks: the splitter cuts between them, and composed letters of one case map stay as they are
     plain = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]*)").fullmatch
 
@@ -71,38 +75,55 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     def through(texts: list[str]) -> list[bytes]:
         return list(map(packed, tok.encode_batch_fast(texts, add_special_tokens=False)))
 
+    def core(word: str) -> bytes:
+        """Ids of lower-case Latin letters or of closing marks: the model alone, on byte-level characters."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(letters)
+        return array("I", [t.id for t in tokenize(word)]).tobytes()
+
+    # a vocabulary that treats letters otherwise goes the general way
+    trusted = all(core(w.lower()) + core(e) == packed(tok.encode(w + e, add_special_tokens=False)) for w, e in (("Strasse", "."), ("\u00c9t\u00e9", ",!"), ("\u00f1and\u00fa", ""), ("x", "?..")))
+
     def learn(new: list[str]) -> None:
-        cut = [(c, m[1].lower(), m[2]) for c in new if (m := plain(c))]
-        parts = [x for x in {p for _, *own in cut for p in own} if x not in cores]
+        cut = [(c, m[1].lower(), m[2]) for c in new if (m := plain(c))] if trusted else []
+        parts = {p for _, *own in cut for p in own}.difference(cores)
         if len(cores) + len(parts) > MEMORY:
             cores.clear()
-            parts = list({p for _, *own in cut for p in own})
-        cores.update(zip(parts, through(parts), strict=True))
-        memory.update((c, cores[a] + cores[b]) for c, a, b in cut)
+            parts = {p for _, *own in cut for p in own}
+        for p in parts:
+            cores[p] = core(p)
+        for c, a, b in cut:
+            memory[c] = cores[a] + cores[b] if b else cores[a]
         whole = [c for c in new if c not in memory]
         memory.update(zip(whole, through(whole), strict=True))
 
-    def encode(texts: list[str]) -> list[bytes]:
-        split = [[t] if any(c in t for c in odd) else t.split() for t in texts]
-        distinct = set().union(*split)
-        new = distinct.difference(memory)
+    def ids_of(chunks: list[str]) -> list[bytes]:
+        new = [c for c in chunks if c not in memory]
         if len(memory) + len(new) > MEMORY:
             memory.clear()
-            new = distinct
-        learn(list(new))
-        out = [b"".join(map(memory.__getitem__, chunks)) for chunks in split]
+            new = chunks
+        learn(new)
+        out = list(map(memory.__getitem__, chunks))
         for c in new:
             if len(c) > LONGEST:
                 del memory[c]
         return out
 
+    def encode(texts: pa.Array) -> list[bytes]:
+        strange = pc.match_substring_regex(texts, "[\x1c-\x1f]").to_numpy(zero_copy_only=False)
+        plain_texts = pc.if_else(pa.array(strange, pa.bool_()), "", texts) if strange.any() else texts
+        out = assemble(pc.utf8_split_whitespace(plain_texts), ids_of)
+        for i in np.flatnonzero(strange).tolist():
+            out[i] = packed(tok.encode(texts[i].as_py(), add_special_tokens=False))
+        return out
+
     return encode
 
 
-_ENCODERS: dict[str, Callable[[list[str]], list[bytes]]] = {}
+_ENCODERS: dict[str, Callable[[pa.Array], list[bytes]]] = {}
 
 
-def _encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+def _encoder(path: str) -> Callable[[pa.Array], list[bytes]]:
     if path not in _ENCODERS:
         _ENCODERS[path] = encoder(path)
     return _ENCODERS[path]
@@ -119,10 +140,10 @@ def pieces(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo, hi in slices(batch.column(len(fields))):
+                part = batch.slice(lo, hi - lo)
                 row, piece, start, length, ids = [], [], [], [], []
-                for i, b in enumerate(encode([t or "" for t in part.column(len(fields)).to_pylist()])):
+                for i, b in enumerate(encode(pc.fill_null(part.column(len(fields)), ""))):
                     b += tail
                     for k, at in enumerate(range(0, len(b), step)):
                         x = b[at : at + step]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import byte_bpe, packing, quality_classifier, quality_rules, simhash, toxicity, warc
+from loomgraph.llm import byte_bpe, html_extraction, packing, quality_classifier, quality_rules, simhash, toxicity, warc
 
 QUERIES = {
+    "op1_html_extraction": html_extraction.query,
     "op3_quality_rules": quality_rules.query,
     "op5_warc": warc.query,
     "op6_byte_bpe": byte_bpe.query,
