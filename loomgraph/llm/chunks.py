@@ -11,12 +11,18 @@ import pyarrow as pa
 SLICE_BYTES = 16 << 20
 
 
-def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about `size` bytes each; a longer text is a range of its own."""
-    lengths = np.nan_to_num(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False))
-    part = (np.cumsum(lengths) // size).astype(np.int64)
-    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
-    return ((a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b)
+def grouped(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of `batches`, regrouped until `column` holds about `size` bytes; a longer text may come alone."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.column(column).nbytes
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def assemble(chunks: pa.ListArray, ids_of: Callable[[list[str]], list[bytes]], skip_first: bool = False) -> list[bytes]:

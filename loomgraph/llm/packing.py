@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from loomgraph import scratch
-from loomgraph.llm.chunks import assemble, slices
+from loomgraph.llm.chunks import assemble, grouped
 from loomgraph.ship import ship
 
 CAPACITY, END = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
-#: Chunks remembered by a worker, and the longest chunk that is remembered.
-MEMORY, LONGEST = 900_000, 64
+#: Chunks remembered by a task, and the longest chunk that is remembered.
+MEMORY, LONGEST = 500_000, 64
 #: Patterns offered to the fit, and triples for each longest member.
 PATTERNS, TRIPLES = 12_000, 3
 BUCKET_ROWS, BUCKETS = 50_000, 256
@@ -49,8 +49,8 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def encoder(path: str) -> Callable[[pa.Array], list[bytes]]:
-    """A function from texts to ids as little-endian unsigned 32-bit integers.
+def encoder(path: str) -> tuple[Callable[[pa.Array], list[bytes]], Callable[[], None]]:
+    """A function from texts to ids as little-endian unsigned 32-bit integers, and one that forgets what it remembers.
 
     The vocabulary's splitter never joins characters across white space, so a
     text is encoded chunk by chunk; each new chunk goes through the tokenizer
@@ -117,13 +117,17 @@ def encoder(path: str) -> Callable[[pa.Array], list[bytes]]:
             out[i] = packed(tok.encode(texts[i].as_py(), add_special_tokens=False))
         return out
 
-    return encode
+    def forget() -> None:
+        memory.clear()
+        cores.clear()
 
+    return encode, forget
 
-_ENCODERS: dict[str, Callable[[pa.Array], list[bytes]]] = {}
 
+_ENCODERS: dict[str, tuple[Callable[[pa.Array], list[bytes]], Callable[[], None]]] = {}
 
-def _encoder(path: str) -> Callable[[pa.Array], list[bytes]]:
+
+def _encoder(path: str) -> tuple[Callable[[pa.Array], list[bytes]], Callable[[], None]]:
     if path not in _ENCODERS:
         _ENCODERS[path] = encoder(path)
     return _ENCODERS[path]
@@ -138,22 +142,21 @@ def pieces(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_
     tail, step = np.array([end], "<u4").tobytes(), 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
-        for batch in batches:
-            for lo, hi in slices(batch.column(len(fields))):
-                part = batch.slice(lo, hi - lo)
-                row, piece, start, length, ids = [], [], [], [], []
-                for i, b in enumerate(encode(pc.fill_null(part.column(len(fields)), ""))):
-                    b += tail
-                    for k, at in enumerate(range(0, len(b), step)):
-                        x = b[at : at + step]
-                        row.append(i)
-                        piece.append(k)
-                        start.append(at // 4)
-                        length.append(len(x) // 4)
-                        ids.append(x)
-                own = [part.column(c).take(pa.array(row, pa.int32())) for c in range(len(fields))]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], names=[*keep, "piece", "start", "length", "_ids"])
+        encode, forget = _encoder(path)
+        for part in grouped(batches, len(fields)):
+            row, piece, start, length, ids = [], [], [], [], []
+            for i, b in enumerate(encode(pc.fill_null(part.column(len(fields)), ""))):
+                b += tail
+                for k, at in enumerate(range(0, len(b), step)):
+                    x = b[at : at + step]
+                    row.append(i)
+                    piece.append(k)
+                    start.append(at // 4)
+                    length.append(len(x) // 4)
+                    ids.append(x)
+            own = [part.column(c).take(pa.array(row, pa.int32())) for c in range(len(fields))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], names=[*keep, "piece", "start", "length", "_ids"])
+        forget()
 
     return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(cut, schema).withColumnRenamed("_ids", "ids")
 
