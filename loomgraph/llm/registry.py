@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import byte_bpe, html_extraction, packing, quality_classifier, quality_rules, simhash, toxicity, warc
+from loomgraph.llm import byte_bpe, html_extraction, nearest_neighbours, packing, quality_classifier, quality_rules, simhash, toxicity, warc
 
 QUERIES = {
     "op1_html_extraction": html_extraction.query,
     "op3_quality_rules": quality_rules.query,
+    "op4_nearest_neighbours": nearest_neighbours.query,
     "op5_warc": warc.query,
     "op6_byte_bpe": byte_bpe.query,
     "op7_quality_classifier": quality_classifier.query,
