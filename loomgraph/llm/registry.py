@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import byte_bpe, html_extraction, nearest_neighbours, packing, quality_classifier, quality_rules, simhash, toxicity, warc
+from loomgraph.llm import byte_bpe, html_extraction, lm_scoring, nearest_neighbours, packing, quality_classifier, quality_rules, simhash, toxicity, warc
 
 QUERIES = {
     "op1_html_extraction": html_extraction.query,
+    "op2_lm_scoring": lm_scoring.query,
     "op3_quality_rules": quality_rules.query,
     "op4_nearest_neighbours": nearest_neighbours.query,
     "op5_warc": warc.query,
