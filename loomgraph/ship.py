@@ -16,6 +16,9 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _DONE:
         return
+    # rows may hold texts of any length: smaller batches bound what a worker holds of them
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     top = os.path.dirname(os.path.abspath(__file__))
     at = os.path.join(tempfile.mkdtemp(prefix="loomgraph-"), "loomgraph_package.zip")
     with zipfile.ZipFile(at, "w") as z:
