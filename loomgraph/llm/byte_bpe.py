@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from loomgraph.llm.chunks import assemble, slices
+from loomgraph.llm.chunks import assemble, grouped
 from loomgraph.ship import ship
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Chunks and pre-tokens remembered by a worker, and the longest that is remembered.
-MEMORY, LONGEST = 700_000, 64
+#: Chunks and pre-tokens remembered by a task, and the longest that is remembered.
+MEMORY, LONGEST = 200_000, 64
 #: Unicode's White_Space, as members of a character class.
 WHITE = "\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -171,6 +171,10 @@ class Codec:
                 del known[w]
         return out
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.chunks.clear()
+
     def _chunk_ids(self, parts: list[str]) -> list[bytes]:
         """Ids of chunks, given without the space they begin with."""
         chunks = self.chunks
@@ -214,37 +218,47 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def _added(df: DataFrame, source: str, name: str, make: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
-    """`df` with a binary column `name` made from column `source`, a slice of rows at a time."""
+def _added(df: DataFrame, source: str, names: list[str], make: Callable[[], Callable[[pa.Array], list[list]]]) -> DataFrame:
+    """`df` with binary columns `names` made from column `source`, a slice of rows at a time."""
     ship(df.sparkSession)
-    kept = [c for c in df.columns if c != name]
-    schema = StructType([*[df.schema[c] for c in kept], StructField(name, BinaryType())])
+    kept = [c for c in df.columns if c not in names]
+    schema = StructType([*[df.schema[c] for c in kept], *[StructField(n, BinaryType()) for n in names]])
     src = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{source}`").alias("__source"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            for lo, hi in slices(batch.column(len(kept))):
-                part = batch.slice(lo, hi - lo)
-                made = f(part.column(len(kept)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, pa.binary())], names=[*kept, name])
+        for batch in grouped(batches, len(kept)):
+            made = [pa.array(x, pa.binary()) for x in f(batch.column(len(kept)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*kept, *names])
+        for c in _CODECS.values():
+            c.forget()
 
     return src.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """`docs` with the ids of `text_col` as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", bytes_col: str | None = None, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """`docs` with the ids of `text_col` as little-endian unsigned 32-bit integers, and in `bytes_col`, if given, what they decode to."""
     path, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
-    return _added(docs, text_col, ids_col, lambda: lambda texts: codec(path, pattern).encode(pc.fill_null(texts, "")))
+
+    def make() -> Callable[[pa.Array], list[list]]:
+        own = codec(path, pattern)
+
+        def run(texts: pa.Array) -> list[list]:
+            ids = own.encode(pc.fill_null(texts, ""))
+            return [ids, list(map(own.decode, ids))] if bytes_col else [ids]
+
+        return run
+
+    return _added(docs, text_col, [ids_col, bytes_col] if bytes_col else [ids_col], make)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """`df` with the bytes that `ids_col` stands for (null ids: null)."""
     path, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
-    return _added(df, ids_col, bytes_col, lambda: lambda rows: [None if x is None else codec(path, pattern).decode(x) for x in rows.to_pylist()])
+    return _added(df, ids_col, [bytes_col], lambda: lambda rows: [[None if x is None else codec(path, pattern).decode(x) for x in rows.to_pylist()]])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decode(encode(docs).drop("text"))
+    both = encode(docs, bytes_col="decoded")
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

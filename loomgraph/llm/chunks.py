@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text encoded at once.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 
 
 def grouped(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -34,7 +34,7 @@ def assemble(chunks: pa.ListArray, ids_of: Callable[[list[str]], list[bytes]], s
     values = chunks.flatten()
     bounds = chunks.offsets.to_numpy().astype(np.int64) - chunks.offsets[0].as_py()
     coded = values.dictionary_encode()
-    index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    index = coded.indices.to_numpy(zero_copy_only=False)
     own = ids_of(coded.dictionary.to_pylist())
     size = np.fromiter(map(len, own), np.int64, len(own)) // 4
     flat = np.frombuffer(b"".join(own), "<u4")
