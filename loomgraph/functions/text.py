@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -29,8 +30,6 @@ def fuzzy_similarity(a: Column, b: Column) -> Column:
 
 def matches(query: str, text: Column, case_sensitive: bool = False, use_regex: bool = False, fuzzy: bool = False, threshold: float = 0.8) -> Column:
     """Whether `text` has the query: by pattern, as a substring, or by similarity to the text or one of its words."""
-    import re
-
     if not query:
         return F.lit(False)
     if use_regex:
@@ -69,9 +68,9 @@ def normalised_name(name: Column) -> Column:
     """Lower case, white space collapsed, each prefix and suffix dropped in turn, punctuation dropped."""
     out = F.trim(F.regexp_replace(F.lower(name), r"\s+", " "))
     for p in PREFIXES:
-        out = F.when(F.startswith(out, F.lit(p)), F.trim(F.substr(out, F.lit(len(p) + 1)))).otherwise(out)
-    for s in SUFFIXES:
-        out = F.when(F.endswith(out, F.lit(s)), F.trim(F.substr(out, F.lit(1), F.length(out) - len(s)))).otherwise(out)
+        out = F.trim(F.regexp_replace(out, "^" + re.escape(p), ""))
+    for x in SUFFIXES:
+        out = F.trim(F.regexp_replace(out, re.escape(x) + "$", ""))
     return F.trim(F.regexp_replace(out, r"[^\w\s]", ""))
 
 
