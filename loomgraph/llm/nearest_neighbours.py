@@ -38,6 +38,8 @@ SAMPLE, LIST_SIZE, MOST_CENTROIDS = 20_000, 500, 4096
 COPIES, BOUNDARY = 4, 1.08
 LEAST_LISTS, MOST_LISTS, RATIO = 12, 48, 1.25
 CHUNK, DEGREE, BEAM = 4096, 16, 64
+#: Rows of results that a task combines at once.
+HELD = 1 << 20
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, is_query: Column) -> DataFrame:
@@ -186,17 +188,41 @@ def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k:
             yield int(q_ids[lo + i]), x_ids[at][order], exact[order]
 
 
+def _least(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `k` best of each query; an id counts once, with its best score."""
+    order = np.lexsort((-scores, ids, q))
+    q, ids, scores = q[order], ids[order], scores[order]
+    once = np.r_[True, (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])]
+    q, ids, scores = q[once], ids[once], scores[once]
+    order = np.lexsort((ids, -scores, q))
+    q, ids, scores = q[order], ids[order], scores[order]
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+    keep = rank < k
+    return q[keep], ids[keep], scores[keep]
+
+
 def _searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Best of each (list, chunk) of a partition sorted by them: queries first, then vectors, which are bounded by the chunk."""
+    """Best of each query over the (list, chunk)s of a partition sorted by them: queries first, then vectors, which are bounded by the chunk.
+
+    Results of several lists are combined before they leave the task; those of
+    more queries than fit in `HELD` rows leave earlier.
+    """
     key, held = None, []
+    rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def combined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _least(*(np.concatenate([r[i] for r in rows]) for i in range(3)), k)
+
+    def out(part: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in part], names=["query_id", "vec_id", "score"])
 
     def done() -> Iterator[pa.RecordBatch]:
+        nonlocal rows, size
         if not held:
             return
-        t = pa.Table.from_batches(held).combine_chunks().to_batches()
-        t = t[0] if t else None
-        if t is None:
-            return
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         side = t.column("side").to_numpy()
         ids, v = t.column("id").to_numpy(), _matrix(t.column("v"))
         q, x = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -204,9 +230,15 @@ def _searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             return
         # an id with several vectors may fill several places
         spare = len(x) - len(np.unique(ids[x]))
-        out = list(best(v[q], ids[q], v[x], ids[x], k + spare))
-        n = [len(a) for _, a, _ in out]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat([a for a, _, _ in out], n)), pa.array(np.concatenate([b for _, b, _ in out])), pa.array(np.concatenate([c for _, _, c in out]))], names=["query_id", "vec_id", "score"])
+        for a, b, c in best(v[q], ids[q], v[x], ids[x], k + spare):
+            rows.append((np.full(len(b), a), b, c))
+            size += len(b)
+        if size > HELD:
+            part = combined()
+            rows, size = [part], len(part[0])
+            if size > HELD // 2:
+                yield out(part)
+                rows, size = [], 0
 
     for batch in batches:
         part = batch.column("part").to_numpy()
@@ -219,6 +251,8 @@ def _searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
                 key, held = part[a], []
             held.append(batch.slice(a, b - a))
     yield from done()
+    if rows:
+        yield out(combined())
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
