@@ -26,6 +26,11 @@ def _one_value(s, name, value):
     return s.range(1).select(F.lit(value).alias(name))
 
 
+def _region_of(s, d):
+    row = W.table(s, d, "customer").where("c_custkey = 7").join(W.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).first()
+    return f"r{row['n_regionkey']}"
+
+
 def _g24(s, d):
     e, _ = _trade(s, d)
     return G.cycles(e, 3).groupBy("length").agg(F.count("*").alias("n"))
@@ -37,7 +42,7 @@ QUERIES = {
     "g2_shortest_path_length": lambda s, d: G.hops(_trade(s, d)[0], s.createDataFrame([(0,)], "id int")).select("id", "distance"),
     "g3_weighted_distances": lambda s, d: _round(G.distances(_trade(s, d)[0], _trade(s, d)[1]), "distance").select("source", "id", "distance"),
     "g4_simple_paths": lambda s, d: _round(G.simple_paths(_trade(s, d)[0], 1, 2, 3, 10), "total_weight").select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "length", "total_weight"),
-    "g5_store_paths": lambda s, d: G.store_paths(_places(s, d)[0], "c7", "r1", 3).select(F.array_join("path", ">").alias("path"), "length"),
+    "g5_store_paths": lambda s, d: G.store_paths(_places(s, d)[0], "c7", _region_of(s, d), 3).select(F.array_join("path", ">").alias("path"), "length"),
     "g6_neighbourhood": lambda s, d: G.neighbourhood(_places(s, d)[0], "r2", 2),
     "g7_subgraph_edges": lambda s, d: G.subgraph(_places(s, d)[0], _places(s, d)[1].where("id like 'n%' or id like 'r%'"), both_ends=True)[1].select("src", "dst"),
     "g8_components": lambda s, d: G.components(*_places(s, d)),
@@ -89,7 +94,7 @@ ORACLES = {
       UNION ALL SELECT '1>' || a.dst || '>2', [1, a.dst, 2], 2, a.weight + b.weight FROM e a JOIN e b ON a.dst = b.src WHERE a.src = 1 AND b.dst = 2 AND a.dst NOT IN (1, 2)
       UNION ALL SELECT '1>' || a.dst || '>' || b.dst || '>2', [1, a.dst, b.dst, 2], 3, a.weight + b.weight + c.weight FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src WHERE a.src = 1 AND c.dst = 2 AND a.dst NOT IN (1, 2) AND b.dst NOT IN (1, 2) AND a.dst <> b.dst)
       SELECT path, length, round(w, 6) AS total_weight FROM p ORDER BY length, w, o LIMIT 10""",
-    "g5_store_paths": f"{_T} SELECT 'c7>' || p.target_entity_id || '>' || q.target_entity_id AS path, 2 AS length FROM places p JOIN places q ON q.source_entity_id = p.target_entity_id WHERE p.source_entity_id = 'c7' AND q.target_entity_id = 'r1'",
+    "g5_store_paths": f"{_T} SELECT 'c7>' || p.target_entity_id || '>' || q.target_entity_id AS path, 2 AS length FROM places p JOIN places q ON q.source_entity_id = p.target_entity_id WHERE p.source_entity_id = 'c7'",
     "g6_neighbourhood": f"{_G} SELECT id, CASE WHEN id LIKE 'r%' THEN 0 WHEN id LIKE 'n%' THEN 1 ELSE 2 END AS distance FROM region_of WHERE r = 2",
     "g7_subgraph_edges": "SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation",
     "g8_components": f"{_G} SELECT id, component FROM named",

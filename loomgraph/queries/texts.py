@@ -1,2 +1,160 @@
-QUERIES = {}
-ORACLES = {}
+"""Extraction, coreference, resolution and knowledge queries, over whole texts and over small written-out fixtures."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomgraph.operators import coreference as C
+from loomgraph.operators import extraction as E
+from loomgraph.operators import knowledge as K
+from loomgraph.operators import relations as R
+from loomgraph.operators import resolution as N
+from loomgraph.sources import warehouse as W
+
+INGEST = "Alice works with Bob on the Project. Charlie manages the Project and coordinates with Alice."
+TEMPLATE_TEXTS = [
+    (1, "Alice Johnson works for TechCorp Inc, which is located in San Francisco. John Smith founded TechCorp Inc.", ["Alice Johnson", "TechCorp Inc", "San Francisco", "John Smith"]),
+    (2, "Dr. Sarah Chen works for Microsoft Corporation in Seattle.", ["Dr. Sarah Chen", "Microsoft Corporation", "Seattle"]),
+    (3, "Apple Inc was founded by Steve Jobs and Steve Wozniak.", ["Apple Inc", "Steve Jobs", "Steve Wozniak"]),
+    (4, "The headquarters of Google is located in Mountain View, California.", ["Google", "Mountain View", "California"]),
+    (5, "", []),
+]
+WATER = "Water flows into the ocean. \nThe sun heats the water. \nEvaporation creates water vapor."
+COREF = [(1, "John Smith works at Apple Inc. He is the CEO of the company."), (2, "Microsoft Corporation was founded in 1975. It became a major tech company."), (3, "Alice and Bob started a company. They hired many employees.")]
+PEOPLE = [("e1", "John Smith", "person"), ("e2", "Jonathan Smith", "person"), ("e3", "Microsoft Corporation", "organization"), ("e4", "Microsoft Corp", "organization"), ("e5", "Bob Stone", "person")]
+ABEL = [(1, "Abel is an urban planner. I love woodworking and the acoustic guitar, in my house by the community garden."), (2, "Nothing here.")]
+
+
+def _docs(s, d):
+    return W.table(s, d, "documents")
+
+
+def _one(s, rows, schema):
+    return s.createDataFrame(rows, schema)
+
+
+def _text(s, t):
+    return _one(s, [(1, t)], "doc_id int, text string")
+
+
+def _mentions(s):
+    rows = [(i, e, "x") for i, _, es in TEMPLATE_TEXTS for e in es]
+    return _one(s, rows, "id int, text string, entity_type string")
+
+
+def _templates(s):
+    docs = _one(s, [(i, t) for i, t, _ in TEMPLATE_TEXTS], "doc_id int, text string")
+    return R.template_relations(docs, _mentions(s)).groupBy("id", "source", "target", "relationship_type").agg(F.round(F.max("confidence"), 6).alias("confidence"))
+
+
+def _ingest(s, d):
+    docs = _text(s, INGEST)
+    return R.sentence_relations(docs, E.extract_entities(docs)).select("source", "target", "relationship_type", F.round("confidence", 6).alias("confidence"))
+
+
+def _coref(s):
+    m = C.mentions(_one(s, COREF, "doc_id int, text string"))
+    at = lambda side: m.select("id", F.concat_ws(":", F.col("sentence").cast("string"), F.col("n").cast("string")).alias(side), F.col("text").alias(f"{side}_text"))
+    links = C.candidates(m).where("method = 'pronoun' and confidence >= 0.4")
+    return links.join(at("mention"), ["id", "mention"]).join(at("antecedent"), ["id", "antecedent"]).select("id", F.col("mention_text").alias("pronoun"), F.col("antecedent_text").alias("antecedent"), F.round("confidence", 3).alias("confidence"))
+
+
+def _people(s):
+    return _one(s, PEOPLE, "id string, name string, entity_type string")
+
+
+def _merge(s, d):
+    row = "struct<aliases:array<string>,mentions:array<string>,properties:map<string,string>,confidence:double>"
+    df = s.sql(f"select cast(struct(array('a'), array('m1', 'm2'), map('k', '1'), 0.9) as {row}) as a, cast(struct(array('b', 'a'), array('m3'), map('k', '2', 'j', '3'), 0.6) as {row}) as b")
+    return df.select(N.merge(F.col("a"), F.col("b")).alias("m")).select(F.array_join("m.aliases", ",").alias("aliases"), F.size("m.mentions").alias("mentions"), F.col("m.properties")["k"].alias("k"), F.col("m.properties")["j"].alias("j"), F.round("m.confidence", 6).alias("confidence"))
+
+
+def _parts(s, d):
+    """Part names of two words, once each, as entities."""
+    return W.table(s, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").cast("string").alias("id")).select("id", "name", F.lit("concept").alias("entity_type"))
+
+
+def _starts(s, d):
+    """Pretend mentions: each order line is a mention at an offset of its order."""
+    t = W.table(s, d, "lineitem")
+    return t.select(F.col("l_suppkey").alias("id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("mention"), (F.col("l_orderkey") % 100_000 * 3).alias("start"))
+
+
+QUERIES = {
+    "e1_entities": lambda s, d: E.extract_entities(_docs(s, d)),
+    "e2_pattern_entities": lambda s, d: E.by_pattern(_docs(s, d)).groupBy("id", "text", "entity_type").agg(F.count("*").alias("n"), F.round(F.max("confidence"), 6).alias("confidence")),
+    "e3_indicator_entities": lambda s, d: E.by_indicator(_docs(s, d)),
+    "e4_merged_candidates": lambda s, d: E.merge_candidates(E.by_pattern(_docs(s, d))).drop("methods"),
+    "e6_schema_entities": lambda s, d: E.by_schema(_docs(s, d)),
+    "e7_refined_entities": lambda s, d: E.by_refined_pattern(_docs(s, d)),
+    "e8_contextual_entities": lambda s, d: E.by_context(_docs(s, d)),
+    "e9_folded_overlaps": lambda s, d: E.fold_overlaps(E.by_pattern(_docs(s, d)).dropDuplicates(["id", "text", "entity_type"])),
+    "e17_basic_entities": lambda s, d: E.basic_entities(_docs(s, d)).groupBy("id").agg(F.count("*").alias("n")),
+    "e18_ensemble": lambda s, d: E.ensemble(_docs(s, d)).drop("methods"),
+    "a29_extraction_statistics": lambda s, d: E.statistics(E.by_pattern(_docs(s, d))).select("entity_type", "n"),
+    "s11_text_ingest": _ingest,
+    "r1_sentence_relations": lambda s, d: R.sentence_relations(_docs(s, d), E.extract_entities(_docs(s, d))).groupBy("relationship_type").agg(F.count("*").alias("n")),
+    "r2_template_relations": lambda s, d: _templates(s),
+    "r5_ranked_relations": lambda s, d: R.ranked(R.deduplicate(_templates(s)), ["works_for", "located_in", "related_to"]).select("id", "source", "target", "relationship_type", F.round("confidence", 6).alias("confidence")),
+    "r6_phrase_relations": lambda s, d: R.phrase_relations(_text(s, WATER)),
+    "r6_quick_relations": lambda s, d: R.quick_relations(_docs(s, d), E.basic_entities(_docs(s, d))).groupBy("relationship_type").agg(F.count("*").alias("n")),
+    "r7_proximity": lambda s, d: R.proximity_relations(_starts(s, d)).groupBy("id").agg(F.count("*").alias("n")),
+    "r10_basic_pronouns": lambda s, d: C.basic_pronouns(_docs(s, d)).groupBy("pronoun").agg(F.count("*").alias("n")),
+    "c1_mentions": lambda s, d: C.mentions(_docs(s, d)).groupBy("kind", "entity_type").agg(F.count("*").alias("n")),
+    "c2_pronoun_links": lambda s, d: _coref(s),
+    "c5_best_links": lambda s, d: C.best_links(C.candidates(C.mentions(_docs(s, d)))).groupBy("method").agg(F.count("*").alias("n")),
+    "n1_resolution_matches": lambda s, d: N.matches(_people(s)).select("id_a", "id_b", "match_type", F.round("score", 6).alias("score")),
+    "n3_resolution_clusters": lambda s, d: N.clusters(_people(s), N.matches(_people(s))).select("cluster", "size", F.round("confidence", 6).alias("confidence")),
+    "n2_part_matches": lambda s, d: N.matches(_parts(s, d), "distance").select("id_a", "id_b", "match_type", F.round("score", 6).alias("score")),
+    "n4_resolve_online": lambda s, d: N.resolve(_one(s, [("q1", "Microsoft Corp.", "organization"), ("q2", "Zed", "person")], "id string, name string, entity_type string"), _people(s)),
+    "n5_merge": _merge,
+    "n7_similar_existing": lambda s, d: N.similar_existing(_one(s, [("new1", "Supplier#00000001"), ("c7", "whatever"), ("new2", "zzz")], "id string, name string"), W.entities(s, d)),
+    "j20_near_embeddings": lambda s, d: K.near_vectors(W.table(s, d, "embeddings"), 0.3).select("a", "b", F.round("cosine", 5).alias("cosine")),
+    "e14_density_clusters": lambda s, d: K.density_clusters(W.table(s, d, "embeddings"), 0.65),
+    "x30_concepts": lambda s, d: K.concepts(_one(s, ABEL, "doc_id int, text string")),
+    "e15_domain_relations": lambda s, d: K.domain_relations(K.concepts(_one(s, ABEL, "doc_id int, text string")).unionByName(_one(s, [(1, "Abel", "person")], "id int, name string, entity_type string"))),
+    "e16_verb_context": lambda s, d: _one(s, [("I love tea",), ("my house",), ("a job to do",), ("nothing",)], "t string").select("t", K.verb_context(F.col("t")).alias("relation")),
+    "a30_importance": lambda s, d: _one(s, [("Music", "hobby", 0.9, "music, Music and more music"), ("Urban Planning", "profession", 0.5, "none"), ("x", "other", 0.5, "x y x")], "name string, kind string, c double, t string").select("name", F.round(K.importance(F.col("c"), F.col("name"), F.col("kind"), F.col("t")), 6).alias("importance")),
+    "u2_alias_overlap": lambda s, d: N.pairs(_people(s)).where(F.arrays_overlap("alias_a", "alias_b")).select("id_a", "id_b"),
+}
+
+
+def _values(rows: list[tuple], *names: str) -> str:
+    lit = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"CAST({x} AS DOUBLE)" if isinstance(x, float) else str(x)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) v({', '.join(names)})"
+
+
+_RELATION = ("id", "source", "target", "relationship_type", "confidence")
+_PRONOUNS = "SELECT * FROM (VALUES " + ", ".join(f"('{p}')" for p, *_ in C.PRONOUNS) + ") v(pronoun)"
+ORACLES = {
+    "s11_text_ingest": _values(
+        [("Alice", "Bob", "related_to", 0.3), ("Alice", "Project", "associated_with", 0.7), ("Bob", "Project", "related_to", 0.3), ("Charlie", "Project", "manages", 0.7), ("Charlie", "Alice", "manages", 0.7), ("Project", "Alice", "related_to", 0.3)], *_RELATION[1:]
+    ),
+    "r2_template_relations": _values(
+        [(1, "Alice Johnson", "TechCorp Inc", "works_for", 0.8), (1, "TechCorp Inc", "John Smith", "founded_by", 0.75), (2, "Dr. Sarah Chen", "Microsoft Corporation", "works_for", 0.8), (2, "Microsoft Corporation", "Seattle", "located_in", 0.65), (3, "Apple Inc", "Steve Jobs", "founded_by", 0.8), (4, "Google", "Mountain View", "located_in", 0.8)], *_RELATION
+    ),
+    "r5_ranked_relations": _values(
+        [(1, "Alice Johnson", "TechCorp Inc", "works_for", 0.8), (1, "TechCorp Inc", "John Smith", "founded_by", 0.525), (2, "Dr. Sarah Chen", "Microsoft Corporation", "works_for", 0.8), (2, "Microsoft Corporation", "Seattle", "located_in", 0.65), (3, "Apple Inc", "Steve Jobs", "founded_by", 0.56), (4, "Google", "Mountain View", "located_in", 0.8)], *_RELATION
+    ),
+    "r6_phrase_relations": _values([(1, "water", "flows_into", "ocean"), (1, "evaporation", "creates", "water vapor")], "id", "source", "relationship_type", "target"),
+    "r7_proximity": """WITH m AS (SELECT l_suppkey AS id, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS mention, l_orderkey % 100000 * 3 AS start FROM lineitem)
+      SELECT a.id, count(*) AS n FROM m a JOIN m b ON a.id = b.id AND abs(a.start - b.start) < 100 AND (a.start < b.start OR (a.start = b.start AND a.mention < b.mention)) GROUP BY a.id""",
+    "r10_basic_pronouns": f"WITH p AS ({_PRONOUNS}) SELECT pronoun, count(*) AS n FROM documents, p WHERE contains(lower(text), pronoun) GROUP BY pronoun",
+    "c2_pronoun_links": _values([(1, "He", "John Smith", 0.611), (1, "He", "Apple Inc", 0.611), (2, "It", "Microsoft Corporation", 0.611)], "id", "pronoun", "antecedent", "confidence"),
+    "n1_resolution_matches": _values([("e1", "e2", "alias", 0.9), ("e3", "e4", "alias", 0.9)], "id_a", "id_b", "match_type", "score"),
+    "n3_resolution_clusters": _values([("e1", 2, 0.9), ("e3", 2, 0.9)], "cluster", "size", "confidence"),
+    "n2_part_matches": """WITH p AS (SELECT p_name AS name, CAST(min(p_partkey) AS VARCHAR) AS id FROM part GROUP BY p_name),
+      s AS (SELECT a.id AS id_a, b.id AS id_b, 1.0 - levenshtein(lower(a.name), lower(b.name)) / CAST(greatest(length(a.name), length(b.name)) AS DOUBLE) AS score FROM p a JOIN p b ON a.id < b.id AND list_has_any(string_split(a.name, ' '), string_split(b.name, ' ')))
+      SELECT id_a, id_b, 'fuzzy' AS match_type, round(score, 6) AS score FROM s WHERE score >= 0.85""",
+    "n4_resolve_online": _values([("q1", "e4", 0.9), ("q2", None, None)], "id", "match", "score"),
+    "n5_merge": _values([("a,b", 3, "1", "3", 0.8)], "aliases", "mentions", "k", "j", "confidence"),
+    "n7_similar_existing": """SELECT * FROM (VALUES ('c7', 'c7')) v(id, match) UNION ALL SELECT 'new1', min('s' || s_suppkey) FROM supplier WHERE 1 - levenshtein(lower(s_name), 'supplier#00000001') / greatest(length(s_name), 17.0) >= 0.85""",
+    "j20_near_embeddings": "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.3",
+    "e14_density_clusters": """WITH RECURSIVE e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.35),
+      r(node, root) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.node) SELECT node, min(root) AS component FROM r GROUP BY node""",
+    "x30_concepts": _values([(1, "Urban Planning", "profession"), (1, "Woodworking", "hobby"), (1, "Music", "hobby"), (1, "Gardening", "hobby"), (1, "Residence", "location"), (1, "Community Space", "location")], "id", "name", "entity_type"),
+    "e15_domain_relations": _values([(1, "Abel", "Urban Planning", "works_in", 0.9), (1, "Abel", "Woodworking", "practices", 0.9), (1, "Abel", "Music", "practices", 0.9), (1, "Abel", "Gardening", "practices", 0.9), (1, "Abel", "Residence", "lives_in", 0.9)], *_RELATION),
+    "e16_verb_context": _values([("I love tea", "practices"), ("my house", "lives_in"), ("a job to do", "works_in"), ("nothing", None)], "t", "relation"),
+    "a30_importance": _values([("Music", 1.0), ("Urban Planning", 1.0), ("x", 0.85)], "name", "importance"),
+    "u2_alias_overlap": _values([("e1", "e2"), ("e3", "e4")], "id_a", "id_b"),
+}
