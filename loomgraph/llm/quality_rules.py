@@ -119,7 +119,7 @@ def base_failed() -> Column:
 PRIOR, START, ROUNDS, SMOOTH = 0.8, (0.9, 0.6), 50, 1.0
 
 
-def expectation_maximisation(counts: list[tuple[tuple[int | None, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]]]:
+def expectation_maximisation(counts: list[tuple[tuple[int | None, ...], int]], rounds: int = ROUNDS, n_rules: int = 0) -> tuple[float, list[tuple[float, float]]]:
     """Share of good texts, and for each rule P(vote good | good) and P(vote bad | bad), given that it votes.
 
     `counts` are the vote patterns and how many texts have each. The start takes
@@ -127,7 +127,7 @@ def expectation_maximisation(counts: list[tuple[tuple[int | None, ...], int]], r
     good; counts are smoothed by `SMOOTH` votes so no rate becomes 0 or 1, and
     rates are kept at one half or above so no rule can turn round.
     """
-    k = len(counts[0][0]) if counts else 0
+    k = len(counts[0][0]) if counts else n_rules
     share, rate = PRIOR, [START] * k
     total = sum(n for _, n in counts)
     for _ in range(rounds if total else 0):
@@ -192,7 +192,7 @@ def verdicts(voted: DataFrame) -> DataFrame:
     held = scratch.write(voted, "rules")
     counts = [(tuple(r[:-1]), r[-1]) for r in held.groupBy(*[f"_vote_{k}" for k in rules()]).count().collect()]
     counts.sort(key=lambda x: tuple(-1 if v is None else v for v in x[0]))
-    return judge(held, *weights(*expectation_maximisation(counts)))
+    return judge(held, *weights(*expectation_maximisation(counts, n_rules=len(rules()))))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
