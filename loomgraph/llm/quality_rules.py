@@ -29,7 +29,9 @@ BLANK = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-EXTRA = ("n_lines", "n_adjacent", "n_upper", "n_banged")
+EXTRA = ("n_lines", "n_adjacent", "n_upper", "n_banged", "n_plain")
+#: A word of letters with one closing mark at most, between white space.
+PLAIN = r"(?<=^|[ \t\n\x0B\f\r])\p{L}[\p{L}\p{M}'’-]*[.,;:!?]?(?=[ \t\n\x0B\f\r]|\z)"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -85,6 +87,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "word_chars": without(WHITE),
         "n_symbols": without(r"[^#*$%&|<>]+"),
         "n_upper": without(r"[^A-Z]+"),
+        "n_plain": F.regexp_count(text, F.lit(PLAIN)),
         "n_banged": F.char_length(text) - F.char_length(F.replace(text, F.lit("!!"), F.lit("!"))),
     }
     out = docs.withColumns({"_w": let(words_of(text), of_words), "_l": let(lines, of_lines), **plain})
@@ -93,22 +96,24 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumns({c: v.cast("long") for c, v in parts.items()}).drop("_w", "_l")
 
 
-def _vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, F.lit(0)).when(good, F.lit(1)).cast("int")
+def _vote(good: Column | None, bad: Column) -> Column:
+    out = F.when(bad, F.lit(0))
+    return (out if good is None else out.when(good, F.lit(1))).cast("int")
 
 
 def rules() -> dict[str, Column]:
-    """Votes from the statistics: each rule has a clear good and a clear bad side and abstains between them."""
+    """Votes from the statistics. Most rules only know a bad sign and abstain without it; two know a good one too."""
     n, some = F.col("n_words"), F.col("n_words") > 0
     return {
         "length": _vote(n >= 60, n < 10),
-        "word_length": _vote(F.col("word_chars").between(3 * n, 10 * n) & some, ~F.col("word_chars").between(2 * n, 15 * n)),
-        "symbols": _vote((50 * F.col("n_symbols") <= n) & some, 5 * F.col("n_symbols") > n),
-        "line_copies": _vote((F.col("n_lines") > 1) & (F.col("n_dup_lines") == 0), 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
-        "repeated_windows": _vote((20 * F.col("n_repeat_words") <= n) & (n >= 2 * WINDOW), 5 * F.col("n_repeat_words") > n),
-        "stutter": _vote((50 * F.col("n_adjacent") <= n) & some, 5 * F.col("n_adjacent") > n),
-        "capitals": _vote((5 * F.col("n_upper") <= F.col("word_chars")) & some, 5 * F.col("n_upper") > 2 * F.col("word_chars")),
-        "shouting": _vote((50 * F.col("n_banged") <= n) & some, 5 * F.col("n_banged") > n),
+        "plain_words": _vote((10 * F.col("n_plain") >= 9 * n) & some, 10 * F.col("n_plain") < 6 * n),
+        "word_length": _vote(None, ~F.col("word_chars").between(2 * n, 15 * n)),
+        "symbols": _vote(None, 5 * F.col("n_symbols") > n),
+        "line_copies": _vote(None, 2 * F.col("n_dup_lines") > F.col("n_lines")),
+        "repeated_windows": _vote(None, 10 * F.col("n_repeat_words") > 3 * n),
+        "stutter": _vote(None, 5 * F.col("n_adjacent") > n),
+        "capitals": _vote(None, 5 * F.col("n_upper") > 2 * F.col("word_chars")),
+        "shouting": _vote(None, 5 * F.col("n_banged") > n),
     }
 
 
@@ -116,42 +121,48 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-PRIOR, START, ROUNDS, SMOOTH = 0.8, (0.9, 0.6), 50, 1.0
+#: The share of good texts at first; how often a good and a bad vote are thought to be on a good text; rounds; how many of a rule's votes that belief counts for.
+PRIOR, BELIEF, ROUNDS, HOLD = 0.8, (0.95, 0.1), 50, 0.5
+Rates = list[tuple[float, float]]
 
 
-def expectation_maximisation(counts: list[tuple[tuple[int | None, ...], int]], rounds: int = ROUNDS, n_rules: int = 0) -> tuple[float, list[tuple[float, float]]]:
-    """Share of good texts, and for each rule P(vote good | good) and P(vote bad | bad), given that it votes.
+def expectation_maximisation(counts: list[tuple[tuple[int | None, ...], int]], rounds: int = ROUNDS, n_rules: int = 0) -> tuple[float, Rates]:
+    """Share of good texts, and for each rule the chance that a text is good given its good vote and given its bad vote.
 
-    `counts` are the vote patterns and how many texts have each. The start takes
-    every rule to be right more often than not, which fixes which class is called
-    good; counts are smoothed by `SMOOTH` votes so no rate becomes 0 or 1, and
-    rates are kept at one half or above so no rule can turn round.
+    `counts` are the vote patterns and how many texts have each. An abstention
+    says nothing: rules look for different faults, so most bad texts break one
+    rule only, and silence of the others must not outvote it. The estimates keep
+    to `BELIEF` with a weight of `HOLD` of the rule's votes, which fixes which
+    class is called good and holds rules that are never contradicted in place.
     """
     k = len(counts[0][0]) if counts else n_rules
-    share, rate = PRIOR, [START] * k
+    share, rate = PRIOR, [BELIEF] * k
     total = sum(n for _, n in counts)
     for _ in range(rounds if total else 0):
-        good_mass, seen = 0.0, [[0.0, 0.0, 0.0, 0.0] for _ in range(k)]
+        mass, seen = 0.0, [[[0.0, 0.0], [0.0, 0.0]] for _ in range(k)]
         for pattern, n in counts:
             p = posterior(pattern, share, rate)
-            good_mass += n * p
+            mass += n * p
             for r, v in enumerate(pattern):
                 if v is not None:
-                    seen[r][0] += n * p
-                    seen[r][1] += n * p * v
-                    seen[r][2] += n * (1 - p)
-                    seen[r][3] += n * (1 - p) * (1 - v)
-        share = (good_mass + SMOOTH) / (total + 2 * SMOOTH)
-        rate = [(max(0.5, (s[1] + SMOOTH) / (s[0] + 2 * SMOOTH)), max(0.5, (s[3] + SMOOTH) / (s[2] + 2 * SMOOTH))) for s in seen]
+                    seen[r][v][0] += n * p
+                    seen[r][v][1] += n
+        share = (mass + 1) / (total + 2)
+        held = lambda s, belief: (s[0] + (HOLD * s[1] + 1) * belief) / (s[1] + HOLD * s[1] + 1)
+        rate = [(held(s[1], BELIEF[0]), held(s[0], BELIEF[1])) for s in seen]
     return share, rate
 
 
-def weights(share: float, rate: list[tuple[float, float]]) -> tuple[float, list[tuple[float, float]]]:
-    """The prior's log odds, and what a good and a bad vote of each rule add."""
-    return math.log(share / (1 - share)), [(math.log(g / (1 - b)), math.log((1 - g) / b)) for g, b in rate]
+def logit(p: float) -> float:
+    return math.log(p / (1 - p))
 
 
-def posterior(pattern: tuple[int | None, ...], share: float, rate: list[tuple[float, float]]) -> float:
+def weights(share: float, rate: Rates) -> tuple[float, Rates]:
+    """The prior's log odds, and what a good and a bad vote of each rule add to them. A good vote never speaks against a text, a bad one never for it."""
+    return logit(share), [(max(0.0, logit(g) - logit(share)), min(0.0, logit(b) - logit(share))) for g, b in rate]
+
+
+def posterior(pattern: tuple[int | None, ...], share: float, rate: Rates) -> float:
     start, add = weights(share, rate)
     z = start + sum(a[0] if v else a[1] for v, a in zip(pattern, add, strict=True) if v is not None)
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
@@ -172,7 +183,7 @@ def ballots(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return statistics(docs, text_col).withColumns({f"_vote_{k}": v for k, v in rules().items()})
 
 
-def judge(held: DataFrame, start: float, add: list[tuple[float, float]]) -> DataFrame:
+def judge(held: DataFrame, start: float, add: Rates) -> DataFrame:
     names = list(rules())
     z = F.lit(start)
     for k, (good, bad) in zip(names, add, strict=True):
