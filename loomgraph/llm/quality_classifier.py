@@ -4,10 +4,12 @@ Two zstandard dictionaries are built, one from texts labelled good and one from
 texts labelled bad. A text is cut into blocks, each block is compressed with
 either dictionary, and the difference of the two sums over the text's bytes
 (the normalised compressed-size difference) is turned into a probability by a
-logistic curve fitted on labelled texts that neither dictionary has seen.
+logistic curve fitted on labelled texts that neither dictionary has seen. Each
+text is thought to stand beside `PULL` bytes with the usual difference of good
+texts. The curve gives either class the same weight, whatever their shares.
 
-Defined results: a null text counts as empty; the empty text has difference 0
-and gets the curve's value there; repeated rows get equal scores; an empty
+Defined results: a null text counts as empty; the empty text has the usual
+difference and gets the curve's value there; repeated rows get equal scores; an empty
 table gives an empty table. Other columns of `docs` are passed through by
 `score`, whatever their names (a clash with ``score`` or ``size_difference``
 is replaced).
@@ -31,6 +33,8 @@ from loomgraph.ship import ship
 #: Labelled rows of each class that a fit uses at most, and the longest text among them.
 SAMPLE_ROWS, SAMPLE_BYTES = 2500, 200_000
 DICT_BYTES, BLOCK, LEVEL = 112_640, 1024, 3
+#: Bytes of usual good text that stand beside each text, so that a few words alone don't decide.
+PULL = 64
 
 
 def _blocks(b: bytes, size: int) -> list[bytes]:
@@ -45,6 +49,7 @@ class CompressionClassifier:
     offset: float
     block: int = BLOCK
     level: int = LEVEL
+    usual: float = 0.0
 
     def differ(self):
         """A function from bytes to the normalised compressed-size difference."""
@@ -55,14 +60,14 @@ class CompressionClassifier:
                 d.precompute_compress(level=self.level)
             more = {} if d is None else {"dict_data": d}
             made.append(zstandard.ZstdCompressor(level=self.level, write_content_size=False, write_checksum=False, write_dict_id=False, **more).compress)
-        good, bad, size = *made, self.block
+        good, bad, size, usual = *made, self.block, self.usual
 
         def differ(b: bytes) -> float:
             total = 0
             for i in range(0, len(b), size):
                 x = b[i : i + size]
                 total += len(bad(x)) - len(good(x))
-            return total / len(b) if b else 0.0
+            return (total + PULL * usual) / (len(b) + PULL)
 
         return differ
 
@@ -105,9 +110,12 @@ def fit_texts(texts: list[bytes], labels: list[int], dict_bytes: int = DICT_BYTE
     good, bad = ([t for t, one, p in zip(texts, y, part, strict=True) if one == k and not p] for k in (1, 0))
     raw = CompressionClassifier(_dictionary(good, dict_bytes, block), _dictionary(bad, dict_bytes, block), 1.0, 0.0, block, level)
     differ = raw.differ()
-    x = np.array([differ(t) for t, p in zip(texts, part, strict=True) if p])
-    slope, offset = logistic(x, y[part])
-    return CompressionClassifier(raw.good, raw.bad, slope, offset, block, level)
+    x = np.array([differ(t) * (len(t) + PULL) for t, p in zip(texts, part, strict=True) if p])
+    n = np.array([len(t) for t, p in zip(texts, part, strict=True) if p])
+    best = (x / np.maximum(n, 1))[(y[part] == 1) & (n > 0)]
+    usual = float(np.median(best)) if len(best) else 0.0
+    slope, offset = logistic((x + PULL * usual) / (n + PULL), y[part])
+    return CompressionClassifier(raw.good, raw.bad, slope, offset, block, level, usual)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: Column, per_class: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str, int]]:
