@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Each round is two grouped minima (combined on the map side) and two equi-joins,
-so a node of any degree is spread by the adaptive skew join; the number of
-rounds grows with the logarithm of the longest chain.
+Each round is two grouped minima (combined on the map side) and two equi-joins.
+The minima are written first, so that both sides of a join are shuffled for the
+join alone and the adaptive skew join can split a node of any degree. The number
+of rounds grows with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from loomgraph import scratch
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m"))
-    low = low.select("u", F.least("u", "m").alias("m"))
+    low = scratch.write(low.select("u", F.least("u", "m").alias("m")), "low")
     return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    low = scratch.write(down.groupBy("u").agg(F.min("v").alias("m")), "low")
     moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
     return moved.unionByName(low.select("u", F.col("m").alias("v")))
 
