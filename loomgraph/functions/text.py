@@ -178,3 +178,51 @@ def canonical_form(text: Column, kind: Column) -> Column:
 def observation_text(value: Column) -> Column:
     """The content of an observation given as JSON object or as plain text."""
     return F.coalesce(F.get_json_object(value, "$.content"), value)
+
+
+# Labels of recognisers and lemmas of verbs, and what they stand for.
+LABELS = {"PER": "person", "PERSON": "person", "ORG": "organization", "GPE": "location", "LOC": "location", "EVENT": "event", "PRODUCT": "product", "DATE": "date", "MONEY": "money", "QUANTITY": "quantity", "MISC": "misc"}
+LEMMAS = (
+    ("causes", "cause lead result trigger induce provoke"),
+    ("creates", "create produce generate make build develop form"),
+    ("contains", "contain include have hold comprise consist"),
+    ("located_in", "locate situate position place base"),
+    ("part_of", "part component element piece section"),
+    ("type_of", "type kind form variety class category"),
+    ("owns", "own possess belong control"),
+    ("works_for", "work employ serve represent"),
+    ("collaborates_with", "collaborate cooperate partner"),
+    ("influences", "influence affect impact shape determine"),
+    ("uses", "use utilize employ apply leverage"),
+    ("develops", "develop design build create engineer"),
+    ("manages", "manage lead direct oversee supervise"),
+    ("competes_with", "compete rival oppose challenge"),
+    ("similar_to", "similar like resemble comparable equivalent"),
+)
+TRAILING = ("for", "and", "or", "the", "of", "in", "at", "by", "with", "from", "to")
+
+
+def type_of_label(label: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), label)
+
+
+def relation_of_lemma(lemma: Column) -> Column:
+    """The first relation that knows the lemma, null if none does."""
+    out = None
+    for kind, known in LEMMAS:
+        out = (F if out is None else out).when(F.lower(lemma).isin(known.split()), F.lit(kind))
+    return out
+
+
+def clean_context(text: Column) -> Column:
+    """Each word without its closing mark (but . and -), trailing function words dropped."""
+    plain = F.filter(F.transform(words(text), lambda w: F.regexp_replace(w, r"[^\w\s.\-]$", "")), lambda w: w != "")
+    return F.regexp_replace(F.array_join(plain, " "), r"(?i)(?:(?:^|\s+)(?:" + "|".join(TRAILING) + r"))+$", "")
+
+
+def normalised_text(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+
+
+def first_date(properties: Column, names: tuple[str, ...]) -> Column:
+    return F.coalesce(*[parse_date(properties[n]) for n in names])
