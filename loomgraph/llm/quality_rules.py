@@ -195,7 +195,7 @@ def judge(held: DataFrame, start: float, add: Rates) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return verdicts(ballots(docs).drop("text")).select("doc_id", *STATS, "base_failed", "kept", "posterior")
+    return verdicts(ballots(docs).drop("text")).select("doc_id", *STATS, "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
 def verdicts(voted: DataFrame) -> DataFrame:
@@ -209,3 +209,55 @@ def verdicts(voted: DataFrame) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are kept, with their own columns."""
     return annotate(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: The votes of `rules`, in the same order, as SQL over the statistics: name, good sign (or none), bad sign.
+SQL_RULES = (
+    ("length", "n_words >= 60", "n_words < 10"),
+    ("plain_words", "10 * n_plain >= 9 * n_words AND n_words > 0", "10 * n_plain < 6 * n_words"),
+    ("word_length", None, "word_chars NOT BETWEEN 2 * n_words AND 15 * n_words"),
+    ("symbols", None, "5 * n_symbols > n_words"),
+    ("line_copies", None, "2 * n_dup_lines > n_lines"),
+    ("repeated_windows", None, "10 * n_repeat_words > 3 * n_words"),
+    ("stutter", None, "5 * n_adjacent > n_words"),
+    ("capitals", None, "5 * n_upper > 2 * word_chars"),
+    ("shouting", None, "5 * n_banged > n_words"),
+)
+
+
+def oracle() -> str:
+    """The same in DuckDB: windows are unnested and counted, and the rounds of the estimation are a recursive table of one row each."""
+    names = [n for n, _, _ in SQL_RULES]
+    votes = ", ".join(f"CASE WHEN {bad} THEN 0{f' WHEN {good} THEN 1' if good else ''} END AS {n}" for n, good, bad in SQL_RULES)
+    lg = lambda x: f"ln({x} / (1 - {x}))"
+    z = lg("share") + "".join(f" + CASE {n} WHEN 1 THEN greatest(0, {lg(f'g_{n}')} - {lg('share')}) WHEN 0 THEN least(0, {lg(f'b_{n}')} - {lg('share')}) ELSE 0 END" for n in names)
+    post = f"(1 / (1 + exp(-({z}))))"
+
+    def held(n: str, v: int, belief: float) -> str:
+        mass, seen = (f"coalesce(sum({x}) FILTER ({n} = {v}), 0)" for x in ("c * p", "c"))
+        return f"({mass} + ({HOLD} * {seen} + 1) * {belief}) / ({seen} + {HOLD} * {seen} + 1)"
+
+    rates = ", ".join(f"{held(n, 1, BELIEF[0])} AS g_{n}, {held(n, 0, BELIEF[1])} AS b_{n}" for n in names)
+    first = ", ".join(f"CAST({BELIEF[0]} AS DOUBLE) AS g_{n}, CAST({BELIEF[1]} AS DOUBLE) AS b_{n}" for n in names)
+    state = ", ".join(f"g_{n}, b_{n}" for n in names)
+    white = r"[^\x20\x09-\x0D]"
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{white}+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, s FROM windows GROUP BY doc_id, s HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM windows JOIN twice USING (doc_id, s)) GROUP BY doc_id),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{white}')) AS l FROM d),
+stats AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+  len(l) AS n_lines, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_adjacent, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper,
+  length(t) - length(replace(t, '!!', '!')) AS n_banged, len(list_filter(w, lambda x: regexp_full_match(x, '\p{{L}}[\p{{L}}\p{{M}}''’-]*[.,;:!?]?'))) AS n_plain
+  FROM d JOIN lines USING (doc_id) LEFT JOIN covered c USING (doc_id)),
+ballots AS (SELECT *, {votes} FROM stats),
+counts AS (SELECT {", ".join(names)}, count(*) AS c FROM ballots GROUP BY ALL),
+em AS (SELECT 0 AS k, CAST({PRIOR} AS DOUBLE) AS share, {first}
+  UNION ALL SELECT k + 1, (sum(c * p) + 1) / (sum(c) + 2), {rates.replace(" AS g_", " AS new_g_").replace(" AS b_", " AS new_b_")}
+  FROM (SELECT *, {post} AS p FROM em CROSS JOIN counts WHERE k < {ROUNDS}) GROUP BY k),
+done AS (SELECT share, {state} FROM em WHERE k = {ROUNDS})
+SELECT doc_id, {", ".join(STATS)}, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND {post} >= 0.5 AS kept, round({post}, 6) AS posterior
+FROM ballots CROSS JOIN done"""

@@ -17,5 +17,6 @@ QUERIES = {
     "op10_packing": packing.query,
 }
 ORACLES: dict[str, str] = {
+    "op3_quality_rules": quality_rules.oracle(),
     "op5_warc": warc.ORACLE,
 }
