@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -23,7 +24,9 @@ def folder(spark: SparkSession) -> str:
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    at = f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(at)
+    return at
 
 
 def write(df: DataFrame, name: str) -> DataFrame:
@@ -35,8 +38,19 @@ def write(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def drop(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table made by `write` once nothing reads it any more."""
-    at = df._loomgraph_at
+def _delete(spark: SparkSession, at: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(spark: SparkSession, df: DataFrame) -> None:
+    """Delete a table made by `write` once nothing reads it any more."""
+    _delete(spark, df._loomgraph_at)
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete every table this process has written; results that still read one of them must have been written elsewhere. Returns how many."""
+    n = len(_MADE)
+    while _MADE:
+        _delete(spark, _MADE.pop())
+    return n
