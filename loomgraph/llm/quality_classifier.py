@@ -31,8 +31,8 @@ from pyspark.sql.functions import pandas_udf
 from loomgraph.ship import ship
 
 #: Labelled rows of each class that a fit uses at most, and the longest text among them.
-SAMPLE_ROWS, SAMPLE_BYTES = 2500, 50_000
-DICT_BYTES, BLOCK, LEVEL = 112_640, 1024, 3
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 50_000
+DICT_BYTES, BLOCK, LEVEL = 524_288, 512, 3
 #: Bytes of usual good text that stand beside each text, so that a few words alone don't decide.
 PULL = 64
 
