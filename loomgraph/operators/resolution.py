@@ -8,7 +8,7 @@ that share neither are not compared.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -122,3 +122,16 @@ def similar_existing(new: DataFrame, existing: DataFrame, least: float = 0.85) -
 
 def statistics(found: DataFrame) -> DataFrame:
     return found.groupBy("match_type").agg(F.count("*").alias("n"), F.avg("score").alias("score"))
+
+
+def add_embeddings(entities: DataFrame, make: Callable[[], Callable[[list[str]], list[list[float]]]], text: Column | None = None) -> DataFrame:
+    """`entities` with ``embedding`` of a text (default: the name), by any model; `make` loads it once for each task."""
+    ship(entities.sparkSession)
+
+    @pandas_udf("array<double>")
+    def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make()
+        for part in parts:
+            yield pd.Series(model([x or "" for x in part]))
+
+    return entities.withColumn("embedding", embed(F.col("name") if text is None else text))
