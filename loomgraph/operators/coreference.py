@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph import scratch
 from loomgraph.functions.text import coreference_similarity
 from loomgraph.operators.components import connected_components
 
@@ -89,7 +90,7 @@ def best_links(links: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def clusters(m: DataFrame, links: DataFrame) -> DataFrame:
     """``(id, cluster, canonical, size, confidence)``: connected mentions; the longest proper noun names them."""
-    best = best_links(links)
+    best = scratch.write(best_links(links), "links")
     name = lambda c: F.concat_ws("/", F.col("id").cast("string"), c)
     own = connected_components(best.select(name("mention").alias("u"), name("antecedent").alias("v")))
     table = m.withColumn("node", F.concat_ws("/", F.col("id").cast("string"), F.concat_ws(":", F.col("sentence").cast("string"), F.col("n").cast("string"))))

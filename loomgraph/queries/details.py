@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomgraph import scratch
 from loomgraph.functions import text as X
 from loomgraph.operators import consistency as C
 from loomgraph.operators import coreference as O
@@ -38,8 +39,6 @@ def _legacy(s, d):
     obs = F.collect_list(F.struct(F.concat(F.lit("o"), "n_nationkey").alias("id"), F.concat(F.lit("n"), "n_nationkey").alias("entity_id"), F.col("n_name").alias("content"), F.lit("t").alias("timestamp")))
     steps = F.array(F.struct(F.lit("s1").alias("id"), F.lit("look").alias("description"), F.lit("done").alias("status"), F.lit("t").alias("timestamp")))
     one = n.groupBy().agg(F.create_map(F.lit("world"), F.struct(node.alias("nodes"), edge.alias("edges"), obs.alias("observations"), steps.alias("reasoning_steps"))).alias("memory_banks")).withColumn("current_bank", F.lit("world"))
-    from loomgraph import scratch
-
     at = scratch.fresh(s, "legacy")
     one.write.json(at)
     return B.migrate(B.read_legacy(s, at))
@@ -71,7 +70,7 @@ QUERIES = {
     "a23_calibration": lambda s, d: R.calibrate(_relations(s, d)).select("id", "source", "target", F.round("confidence", 5).alias("confidence")),
     "a25_resolution_statistics": lambda s, d: N.statistics(N.matches(W.table(s, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").cast("string").alias("id")).withColumn("entity_type", F.lit("concept")), "distance")).select("match_type", "n", F.round("score", 5).alias("score")),
     "a31_fallback_scores": lambda s, d: s.createDataFrame([tuple(Q.fallback_scores(W.table(s, d, "nation").count(), W.table(s, d, "region").count()).values())], "completeness double, accuracy double, connectivity double, overall double"),
-    "c6_coreference_clusters": lambda s, d: O.clusters(m := O.mentions(W.table(s, d, "documents")), O.candidates(m)),
+    "c6_coreference_clusters": lambda s, d: O.clusters(m := scratch.write(O.mentions(W.table(s, d, "documents")), "mentions"), O.candidates(m)),
     "e5_similar_clusters": lambda s, d: E.cluster_similar(E.by_schema(W.table(s, d, "documents"))),
     "e10_instances": lambda s, d: V.validate_entities(E.as_instances(E.by_schema(W.table(s, d, "documents"))), V.default_schema()).groupBy("entity_type", "valid").agg(F.count("*").alias("n")),
     "e13_knowledge_graph": lambda s, d: K.graph(e := E.extract_entities(W.table(s, d, "documents")), R.sentence_relations(W.table(s, d, "documents"), e), 0.3)[1].groupBy("relationship_type").agg(F.count("*").alias("n")),
