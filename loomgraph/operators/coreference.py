@@ -39,10 +39,23 @@ THRESHOLD, REACH, SAME = 0.6, 5, 0.6
 def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, sentence, n, text, kind, entity_type, gender, number)``; `n` numbers a sentence's mentions."""
     cut = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, r"[.!?]+")).alias("sentence", "s")).withColumn("s", F.regexp_replace("s", r"^\s+|\s+$", "")).where("s != ''")
-    form = lambda kind, t, g, n: lambda x: F.struct(x.alias("text"), F.lit(kind).alias("kind"), F.lit(t).alias("entity_type"), F.lit(g).alias("gender"), F.lit(n).alias("number"))
-    found = [F.transform(F.regexp_extract_all("s", F.lit(rf"(?i)\b{p}\b"), F.lit(0)), form("pronoun", t, g, n)) for p, g, n, t in PRONOUNS]
-    found += [F.transform(F.regexp_extract_all("s", F.lit(rf"(?i)\b{p}\b"), F.lit(0)), form("nominal", t, "", "")) for t, ps in NOMINALS for p in ps]
-    found += [F.transform(F.regexp_extract_all("s", F.lit(p), F.lit(0)), form("proper", t, "", "")) for t, ps in PROPER for p in ps]
+    known = {p: (g, n, t) for p, g, n, t in PRONOUNS}
+    told = lambda i: F.create_map(*[F.lit(x) for p, v in known.items() for x in (p, v[i])])
+    kinds = F.create_map(*[F.lit(x) for t, ps in NOMINALS for p in ps for x in (p, t)])
+
+    def form(x: Column, kind: str, entity_type: Column, gender: Column, number: Column) -> Column:
+        return F.struct(x.alias("text"), F.lit(kind).alias("kind"), entity_type.alias("entity_type"), gender.alias("gender"), number.alias("number"))
+
+    def proper(entity_type: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("s", F.lit(pattern), F.lit(0)), lambda x: form(x, "proper", F.lit(entity_type), F.lit(""), F.lit("")))
+
+    # longest first: an alternation takes the first that fits
+    any_of = lambda ps: F.regexp_extract_all("s", F.lit(r"(?i)\b(?:" + "|".join(sorted(ps, key=len, reverse=True)) + r")\b"), F.lit(0))
+    found = [
+        F.transform(any_of(known), lambda x: form(x, "pronoun", F.element_at(told(2), F.lower(x)), F.element_at(told(0), F.lower(x)), F.element_at(told(1), F.lower(x)))),
+        F.transform(any_of([p for _, ps in NOMINALS for p in ps]), lambda x: form(x, "nominal", F.element_at(kinds, F.lower(x)), F.lit(""), F.lit(""))),
+        *[proper(t, p) for t, ps in PROPER for p in ps],
+    ]
     return cut.select("id", "sentence", F.posexplode(F.array_distinct(F.concat(*found))).alias("n", "m")).select("id", "sentence", "n", "m.*")
 
 
