@@ -118,6 +118,8 @@ ORACLES = {
     "g18_clustering": f"""{_T}, {_UND}, d AS (SELECT n_nationkey AS id, (SELECT count(*) FROM und WHERE src = n_nationkey) AS degree FROM nation),
       t AS (SELECT a.src AS id, count(*) / 2 AS t FROM und a JOIN und b ON b.src = a.src JOIN und c ON c.src = a.dst AND c.dst = b.dst GROUP BY a.src)
       SELECT d.id, degree, CAST(coalesce(t, 0) AS BIGINT) AS triangles, round(CASE WHEN degree > 1 THEN 2 * coalesce(t, 0) / (CAST(degree AS DOUBLE) * (degree - 1)) ELSE 0 END, 6) AS coefficient FROM d LEFT JOIN t USING (id)""",
+    "g19_diameter": f"""{_R}, {_UND}, far(source, id, d) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation UNION SELECT f.source, u.dst, f.d + 1 FROM far f JOIN und u ON u.src = f.id WHERE f.d < 12)
+      SELECT CAST(max(d) AS INTEGER) AS diameter FROM (SELECT source, id, min(d) AS d FROM far GROUP BY ALL)""",
     "g20_component_sizes": f"{_G} SELECT component, size AS n FROM sized",
     "g21_hubs": f"{_G}, a AS (SELECT avg(i + o) AS a FROM deg) SELECT id, i + o AS degree, CASE WHEN i + o = 0 THEN 'isolated' ELSE 'hub' END AS role FROM deg, a WHERE i + o = 0 OR i + o >= 2 * a",
     "g22_centrality_averages": f"""{_R}, {_SSSP}, c AS (SELECT coalesce(count(b.id) / sum(b.distance) * count(b.id) / 24.0, 0) AS c FROM nation LEFT JOIN best b ON b.id = n_nationkey AND b.source <> b.id GROUP BY n_nationkey)
