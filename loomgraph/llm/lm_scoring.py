@@ -1,13 +1,16 @@
 """Masked pseudo-likelihood of documents by a bidirectional window network.
 
-Tokens are lower-cased words split at white space. The most frequent words of
-all documents, by counts over every one of them, are the vocabulary; any other
-word stands for one of `UNKNOWN` classes by the hash of its last two characters.
-The network predicts each token from the `SIDE` tokens on either side: one
-embedding table for each place of the window is summed and squashed, and a
-two-step softmax gives first the token's class (a band of frequency ranks) and
+Words are lower-cased and split at white space. The most frequent words of all
+documents, by counts over every one of them, are tokens; any other word is cut
+into the longest known pieces (frequent runs of up to `PIECE` characters, counted
+over all words) and, where none fits, into bytes. A word's last piece or byte has
+a number of its own, so that tokens cover every text and no two lists of words
+have the same ones. The network predicts each token from the `SIDE` tokens on
+either side: one embedding table for each place of the window is summed and
+squashed, and a two-step softmax gives first the token's class (a band of frequency ranks) and
 then the token within its class. A document's score is the sum of the logarithms
-of these conditional probabilities; the mean is given beside it.
+of these conditional probabilities; the number of words and the mean for each
+word are given beside it.
 
 Training is distributed: in each round every partition runs stochastic gradient
 steps over its share of the documents (a fixed rate by the hash of the id, so
@@ -22,7 +25,6 @@ columns are passed through by `score`, except ones named as its outputs.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,11 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from loomgraph import scratch
 from loomgraph.llm.chunks import grouped
 from loomgraph.ship import ship
 
-UNKNOWN, CLASSES, WITHIN = 256, 32, 64
+BYTES, CLASSES, WITHIN = 256, 32, 128
 VOCABULARY = CLASSES * WITHIN
+PIECES, PIECE = 896, 4
+#: Pieces and bytes have two numbers each: within a word and at its end.
+WORDS = VOCABULARY - 2 * (PIECES + BYTES)
 WIDTH, SIDE = 16, 2
 ROUNDS, SHARE = 2, 32
 RATE, BATCH, DECAY = 0.35, 2048, 0.5
@@ -59,10 +65,46 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return parts.where("word != ''").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def piece_counts(counts: DataFrame) -> DataFrame:
+    """``(piece, n)``: runs of up to `PIECE` characters of all words, weighed by the words' counts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in grouped(batches, 0, 8 << 20):
+            pieces, n = _pieces(batch.column(0).to_pylist(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(n, pa.int64())], names=["piece", "n"])
+
+    return counts.select("word", "n").mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def _pieces(words: list[str], n: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Runs of characters within words and their weights. Characters are coded densely, so that a run fits 63 bits; of a very large alphabet the longest are left out."""
+    letters, code = np.unique(np.frombuffer(("\n".join(words) + "\n").encode("utf-32-le"), "<u4"), return_inverse=True)
+    bits = max(1, int(len(letters) - 1).bit_length())
+    gap = np.flatnonzero(letters == 10)[0]
+    weight = np.repeat(n, np.diff(np.flatnonzero(code == gap), prepend=-1))
+    out, total = [], []
+    key, inside = np.zeros(len(code), np.int64), np.ones(len(code), bool)
+    for size in range(1, min(PIECE, 63 // bits) + 1):
+        last = code[size - 1 :]
+        key, inside = key[: len(last)] << bits | last, inside[: len(last)] & (last != gap)
+        order = np.argsort(key[inside], kind="stable")
+        k = key[inside][order]
+        first = np.flatnonzero(np.diff(k, prepend=-1))
+        if len(first):
+            chars = letters[k[first][:, None] >> (bits * np.arange(size - 1, -1, -1)) & ((1 << bits) - 1)].astype("<u4")
+            text = chars.tobytes().decode("utf-32-le")
+            out += [text[i : i + size] for i in range(0, len(text), size)]
+            total.append(np.add.reduceat(weight[: len(last)][inside][order], first))
+    return out, np.concatenate(total) if total else np.zeros(0, np.int64)
+
+
 def vocabulary(docs: DataFrame, text_col: str = "text") -> list[str]:
-    """The most frequent words, ties by the word: as many as there are numbers beside the unknown classes."""
-    rows = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(VOCABULARY - UNKNOWN).collect()
-    return [r[0] for r in rows]
+    """The `WORDS` most frequent words, then, with a space before each, the `PIECES` pieces that save the most bytes; ties by the text."""
+    counts = scratch.write(word_counts(docs, text_col), "words")
+    words = [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+    saved = F.col("n") * (F.octet_length("piece") - 1)
+    pieces = piece_counts(counts).where("octet_length(piece) > 1").orderBy(saved.desc(), "piece").limit(PIECES).collect()
+    return words + [f" {r[0]}" for r in pieces]
 
 
 def _words(texts: pa.Array) -> pa.ListArray:
@@ -70,29 +112,51 @@ def _words(texts: pa.Array) -> pa.ListArray:
 
 
 class Numbers:
-    """From words to token numbers. Unknown classes take the last numbers."""
+    """From words to token numbers: words, then pieces, then bytes, which take the last numbers."""
 
     def __init__(self, words: list[str]):
-        self.known = pa.array(words, pa.string())
-        self.base = VOCABULARY - UNKNOWN
+        self.known = pa.array([w for w in words if not w.startswith(" ")], pa.string())
+        self.piece = {w[1:]: WORDS + 2 * i for i, w in enumerate(w for w in words if w.startswith(" "))}
+        self.base = VOCABULARY - 2 * BYTES
+
+    def spelt(self, word: str) -> list[int]:
+        """Numbers of the longest pieces from the left; of bytes where none fits. The last is one higher."""
+        out, at, get = [], 0, self.piece.get
+        while at < len(word):
+            for size in range(PIECE, 0, -1):
+                own = get(word[at : at + size])
+                if own is not None:
+                    out.append(own)
+                    at += size
+                    break
+            else:
+                out += [self.base + 2 * x for x in word[at].encode()]
+                at += 1
+        if out:
+            out[-1] += 1
+        return out
 
-    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Token numbers of all texts in a row, and where each text ends."""
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token numbers of all texts in a row, where each text ends, and the number of words of each."""
         lists = _words(texts)
-        values = lists.flatten()
-        coded = values.dictionary_encode()
+        coded = lists.flatten().dictionary_encode()
         words = coded.dictionary
         number = pc.fill_null(pc.index_in(words, self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         rest = np.flatnonzero(number < 0)
-        if len(rest):
-            tails = pc.utf8_slice_codeunits(words.take(pa.array(rest)), -2, 1 << 30).dictionary_encode()
-            of_tail = np.array([self.base + zlib.crc32(t.encode()) % UNKNOWN for t in tails.dictionary.to_pylist()], np.int64)
-            number[rest] = of_tail[tails.indices.to_numpy()]
+        spelt = [self.spelt(w) for w in words.take(pa.array(rest)).to_pylist()]
+        size = np.ones(len(words), np.int64)
+        size[rest] = np.fromiter(map(len, spelt), np.int64, len(spelt))
+        begin = np.concatenate([[0], np.cumsum(size)])
+        flat = np.zeros(begin[-1], np.int32)
+        flat[begin[:-1][number >= 0]] = number[number >= 0]
+        flat[np.repeat(number < 0, size)] = np.fromiter((x for s in spelt for x in s), np.int32, int(size[rest].sum()))
         index = coded.indices.to_numpy(zero_copy_only=False)
-        full = (pc.binary_length(words).to_numpy(zero_copy_only=False) > 0)[index] if len(words) else np.zeros(0, bool)
+        count = size[index]
+        stops = np.concatenate([[0], np.cumsum(count)])
+        tokens = flat[np.repeat(begin[:-1][index] - stops[:-1], count) + np.arange(stops[-1])]
+        full = np.concatenate([[0], np.cumsum(count > 0)])
         bounds = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
-        kept = np.concatenate([[0], np.cumsum(full)])
-        return number[index][full].astype(np.int32), kept[bounds][1:]
+        return tokens, stops[bounds][1:], np.diff(full[bounds])
 
 
 @dataclass
@@ -185,21 +249,24 @@ class Network:
             self.one -= rate / n * (h.T @ p)
             self.one_bias -= rate / n * p.sum(0)
             order = np.argsort(group.astype(np.int8), kind="stable")
-            edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
+            edges = np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist()
+            by_class, within, added = h[order], member[order], np.empty_like(h)
             for c in range(CLASSES):
-                at = order[edges[c] : edges[c + 1]]
-                if len(at):
-                    hc = h[at]
+                lo_c, hi_c = edges[c], edges[c + 1]
+                if lo_c < hi_c:
+                    hc = by_class[lo_c:hi_c]
                     q = _softmax(hc @ self.two[c] + self.two_bias[c])
-                    q[np.arange(len(at)), member[at]] -= 1
-                    back[at] += q @ self.two[c].T
+                    q[np.arange(hi_c - lo_c), within[lo_c:hi_c]] -= 1
+                    np.matmul(q, self.two[c].T, out=added[lo_c:hi_c])
                     # a class is met in part of the steps: its own share sets the step
-                    self.two[c] -= rate / (len(at) + 16) * (hc.T @ q)
-                    self.two_bias[c] -= rate / (len(at) + 16) * q.sum(0)
+                    step = rate / (hi_c - lo_c + 16)
+                    self.two[c] -= step * (hc.T @ q)
+                    self.two_bias[c] -= step * q.sum(0)
+            back[order] += added
             back *= 1 - h * h
             self.hidden -= rate / n * back.sum(0)
             for k in range(2 * SIDE):
-                ids = around[k]
+                ids = around[k].astype(np.int16)
                 order = np.argsort(ids, kind="stable")
                 first = np.flatnonzero(np.diff(ids[order], prepend=-1))
                 total = np.add.reduceat(back[order], first, axis=0)
@@ -209,12 +276,15 @@ class Network:
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
     top = z.max(1)
-    return np.log(np.exp(z - top[:, None]).sum(1)) + top
+    z = z - top[:, None]
+    return np.log(np.exp(z, out=z).sum(1)) + top
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(1)[:, None])
-    return e / e.sum(1)[:, None]
+    z -= z.max(1)[:, None]
+    np.exp(z, out=z)
+    z /= z.sum(1)[:, None]
+    return z
 
 
 def train(docs: DataFrame, words: list[str], text_col: str = "text", id_col: str = "doc_id", rounds: int = ROUNDS, share: int = SHARE) -> Network:
@@ -230,7 +300,7 @@ def train(docs: DataFrame, words: list[str], text_col: str = "text", id_col: str
         def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = start, rate: float = rate) -> Iterator[pa.RecordBatch]:
             numbers, own, seen = Numbers(words), None, 0
             for batch in grouped(batches, 0):
-                tokens, ends = numbers.of(batch.column(0))
+                tokens, ends, _ = numbers.of(batch.column(0))
                 if len(tokens):
                     own = own or Network.shaped(start)
                     own.learn(tokens, ends, rate)
@@ -266,7 +336,7 @@ def train(docs: DataFrame, words: list[str], text_col: str = "text", id_col: str
 
 
 def score(docs: DataFrame, words: list[str], net: Network, text_col: str = "text") -> DataFrame:
-    """`docs` with ``n_tokens``, ``log_likelihood`` and ``mean_log_probability``."""
+    """`docs` with ``n_tokens`` (words), ``log_likelihood`` (of all their tokens) and ``mean_log_probability`` (for each word)."""
     ship(docs.sparkSession)
     names = ("n_tokens", "log_likelihood", "mean_log_probability")
     kept = [c for c in docs.columns if c not in names]
@@ -276,10 +346,10 @@ def score(docs: DataFrame, words: list[str], net: Network, text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, own = Numbers(words), Network.shaped(flat)
         for batch in grouped(batches, len(kept)):
-            tokens, ends = numbers.of(batch.column(len(kept)))
+            tokens, ends, n = numbers.of(batch.column(len(kept)))
             sums = np.concatenate([[0.0], np.cumsum(own.log_probability(tokens, ends), dtype=np.float64)])
             starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-            n, total = ends - starts, sums[ends] - sums[starts]
+            total = sums[ends] - sums[starts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n.astype(np.int64)), pa.array(total), pa.array(total / np.maximum(1, n))], names=[*kept, *names])
 
     return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, schema)

@@ -426,6 +426,20 @@ def test_lm_scores_prefer_seen_order(spark, docs, none):
     assert lm_scoring.vocabulary(none) == []
 
 
+def test_lm_rare_words_have_their_own_tokens(spark):
+    common = [f"w{i}x{i * 7 % 97}" for i in range(lm_scoring.WORDS)]
+    d = spark.createDataFrame([(i, " ".join(common)) for i in range(3)] + [(9, "kitchen zzqqkitchen \u4e2d\U0001f600en")], "doc_id long, text string")
+    numbers = lm_scoring.Numbers(lm_scoring.vocabulary(d))
+    seen = set()
+    for w in [*common, "kitchen", "zzqqkitchen", "chicken", "\u4e2d\U0001f600en", "\u4e2e\U0001f600en", "unseenen"]:
+        tokens, ends, n = numbers.of(lm_scoring.pa.array([w, None, f" {w} "]))
+        assert n.tolist() == [1, 0, 1] and ends.tolist() == [len(tokens) // 2, len(tokens) // 2, len(tokens)]
+        seen.add(tuple(tokens[: ends[0]].tolist()))
+    assert len(seen) == len(common) + 6
+    two, one = (numbers.of(lm_scoring.pa.array([t]))[0].tolist() for t in ("kitch zzqqen", "kitchzzqqen"))
+    assert two != one
+
+
 def test_lm_probabilities_sum_to_one():
     net = lm_scoring.Network.fresh()
     total = 0.0
