@@ -13,9 +13,9 @@ of these conditional probabilities; the number of words and the mean for each
 word are given beside it.
 
 Training is distributed: in each round every partition runs stochastic gradient
-steps over its share of the documents (a fixed rate by the hash of the id, so
-what is learnt from grows with the corpus) from the weights of the round before,
-and the partitions' weights are averaged by token count. Only the vocabulary and
+steps over its documents of one hash class of ids, from the weights of the round
+before. There are as many classes as rounds, so each document is learnt from
+once, whatever its id. The partitions' weights are averaged by token count. Only the vocabulary and
 the averaged weights, both of a fixed size, reach the driver.
 
 Defined results: a null or empty text has no tokens, log likelihood 0 and mean
@@ -45,10 +45,12 @@ PIECES, PIECE = 896, 4
 #: Pieces and bytes have two numbers each: within a word and at its end.
 WORDS = VOCABULARY - 2 * (PIECES + BYTES)
 WIDTH, SIDE = 16, 2
-ROUNDS, SHARE = 2, 32
+ROUNDS = 2
 RATE, BATCH, DECAY = 0.35, 2048, 0.5
 TOKENS = 1 << 17
 BLOCK = 8192
+#: Spelt words that a task remembers, and their longest.
+HELD, SHORT = 1 << 18, 64
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -118,9 +120,13 @@ class Numbers:
         self.known = pa.array([w for w in words if not w.startswith(" ")], pa.string())
         self.piece = {w[1:]: WORDS + 2 * i for i, w in enumerate(w for w in words if w.startswith(" "))}
         self.base = VOCABULARY - 2 * BYTES
+        self.held: dict[str, list[int]] = {}
 
     def spelt(self, word: str) -> list[int]:
         """Numbers of the longest pieces from the left; of bytes where none fits. The last is one higher."""
+        out = self.held.get(word)
+        if out is not None:
+            return out
         out, at, get = [], 0, self.piece.get
         while at < len(word):
             for size in range(PIECE, 0, -1):
@@ -134,6 +140,10 @@ class Numbers:
                 at += 1
         if out:
             out[-1] += 1
+        if len(word) <= SHORT:
+            if len(self.held) >= HELD:
+                self.held.clear()
+            self.held[word] = out
         return out
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,8 +297,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def train(docs: DataFrame, words: list[str], text_col: str = "text", id_col: str = "doc_id", rounds: int = ROUNDS, share: int = SHARE) -> Network:
-    """Rounds of distributed steps and averaging; round r learns from the ids whose hash modulo `share` is r (from all, if those are none)."""
+def train(docs: DataFrame, words: list[str], text_col: str = "text", id_col: str = "doc_id", rounds: int = ROUNDS, share: int | None = None) -> Network:
+    """Rounds of distributed steps and averaging; round r learns from the ids whose hash modulo `share` is r modulo `share`. By default `share` is the number of rounds; with no more classes than rounds every document is learnt from."""
+    share = share or rounds
     ship(docs.sparkSession)
     net = Network.fresh()
     size = net.flat().size

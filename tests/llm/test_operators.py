@@ -440,6 +440,18 @@ def test_lm_rare_words_have_their_own_tokens(spark):
     assert two != one
 
 
+def test_lm_learns_from_every_document(spark):
+    rows = spark.range(400).selectExpr("id as doc_id", "concat('word', id % 7, ' of text') as text")
+    words, key = lm_scoring.vocabulary(rows), F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(32))
+    fresh = lm_scoring.Network.fresh().flat()
+    for some in (rows.where(key == 17), rows.where(key > 1), rows.withColumn("doc_id", F.lit(None).cast("long"))):
+        assert not np.array_equal(lm_scoring.train(some, words).flat(), fresh)
+    seen = []
+    for lone in [r.doc_id for r in rows.orderBy("doc_id").limit(6).collect()]:
+        seen.append(not np.array_equal(lm_scoring.train(rows.where(F.col("doc_id") == lone), words).flat(), fresh))
+    assert all(seen)
+
+
 def test_lm_probabilities_sum_to_one():
     net = lm_scoring.Network.fresh()
     total = 0.0
