@@ -6,8 +6,8 @@ those of largest inner product. Centroids are fitted on a bounded sample by
 k-means; clusters over the wanted size are split. A graph over the centroids,
 held in memory, is searched best-first for each vector. Boundary vectors are
 written to every list whose centroid is nearly as near as the nearest (up to
-`COPIES`). A query visits lists whose distance is within a ratio of its nearest
-list's, at least `LEAST_LISTS` and at most `MOST_LISTS`.
+`COPIES`). A query is measured against every centroid and visits all lists whose
+distance is within a ratio of its nearest list's, at least `LEAST_LISTS`.
 
 Every row is indexed. A list of more than `CHUNK` vectors is dealt to several
 tasks by the hash of the id, and the queries that visit it go to each of them.
@@ -36,10 +36,12 @@ from loomgraph.ship import ship
 
 SAMPLE, LIST_SIZE, MOST_CENTROIDS = 20_000, 500, 4096
 COPIES, BOUNDARY = 4, 1.08
-LEAST_LISTS, MOST_LISTS, RATIO = 12, 48, 1.25
+LEAST_LISTS, RATIO = 12, 1.25
 CHUNK, DEGREE, BEAM = 4096, 16, 64
 #: Rows of results that a task combines at once.
 HELD = 1 << 20
+#: Pairs of queries and lists written at once.
+PAIRS = 1 << 16
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, is_query: Column) -> DataFrame:
@@ -63,6 +65,12 @@ class Lists:
     def lift(self, x: np.ndarray) -> np.ndarray:
         return np.c_[x, np.sqrt(np.maximum(0, self.top**2 - (x * x).sum(1)))]
 
+    def all(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every centroid for each row of `x`, with squared distances, nearest first."""
+        dist = (x * x).sum(1)[:, None] + (self.centroids**2).sum(1) - 2 * x @ self.centroids.T
+        ids = np.argsort(dist, axis=1, kind="stable")
+        return ids, np.maximum(np.take_along_axis(dist, ids, 1), 0)
+
     def search(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Nearest centroids of each row of `x` and their squared distances, nearest first: best-first search over the graph, all rows in step."""
         c, g = self.centroids, self.graph
@@ -156,14 +164,15 @@ def _assigned(rows: DataFrame, lists: Lists, query: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
+            step = max(1, PAIRS // len(lists.centroids)) if query else 2048
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
                 x = _matrix(part.column(1))
-                ids, d = lists.search(np.c_[x, np.zeros(len(x))] if query else lists.lift(x))
+                ids, d = lists.all(np.c_[x, np.zeros(len(x))]) if query else lists.search(lists.lift(x))
                 d = np.where(ids >= 0, np.sqrt(d), np.inf)
                 rank = np.arange(ids.shape[1])[None, :]
                 if query:
-                    take = ((d <= RATIO * d[:, :1]) & (rank < MOST_LISTS)) | (rank < LEAST_LISTS)
+                    take = (d <= RATIO * d[:, :1]) | (rank < LEAST_LISTS)
                 else:
                     take = ((d <= BOUNDARY * d[:, :1] + 1e-12) & (rank < COPIES)) | (rank == 0)
                 r, c = np.nonzero(take & (ids >= 0))

@@ -409,6 +409,19 @@ def test_nearest_neighbours(spark):
     assert nearest_neighbours.search(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_nearest_neighbours_hundreds_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(nearest_neighbours, "LIST_SIZE", 20)
+    x = np.random.default_rng(4).normal(size=(6000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest_neighbours.search(df, F.col("vec_id") % 60 == 0, 10).collect()
+    true = x[::60] @ x.T
+    true[np.arange(100), np.arange(0, 6000, 60)] = -np.inf
+    best = {(i * 60, j) for i, row in enumerate(true) for j in np.argsort(-row)[:10].tolist()}
+    recall = len(best & {(r.query_id, r.vec_id) for r in got}) / len(best)
+    print("recall", recall)
+    assert recall >= 0.98
+
+
 def test_lm_scores_prefer_seen_order(spark, docs, none):
     rnd = random.Random(0)
     rows = [(i, " ".join(w for _ in range(rnd.randint(20, 60)) for w in (rnd.choice(["red", "blue"]), "fish", "swims"))) for i in range(300)]
