@@ -289,7 +289,7 @@ def diameter(edges: DataFrame, nodes: DataFrame) -> int:
 def cycles(edges: DataFrame, most: int = 8) -> DataFrame:
     """Elementary directed cycles of up to `most` edges, each once and beginning with its smallest node.
 
-    Nodes that no cycle can hold are shed first, layer by layer.
+    Of a strongly connected group that has only longer ones, the shortest through its smallest node is given. Nodes that no cycle can hold are shed first, layer by layer.
     """
     e = scratch.write(edges.select("src", "dst").distinct(), "cycles")
     while True:
@@ -308,9 +308,63 @@ def cycles(edges: DataFrame, most: int = 8) -> DataFrame:
         front = scratch.write(on.where((F.col("_d") > F.col("path")[0]) & ~F.array_contains("path", F.col("_d"))).select(F.array_append("path", F.col("_d")).alias("path")), "cycles")
         if not front.limit(1).count():
             break
+    else:
+        groups = strong_groups(e)
+        met = found.select(F.col("path")[0].alias("id")).join(groups, "id").select("root")
+        found = found.unionByName(_root_cycles(e, groups.join(met, "root", "left_anti")))
     return found.withColumn("length", F.size("path"))
 
 
+def strong_groups(edges: DataFrame) -> DataFrame:
+    """``(id, root)`` of the strongly connected groups of two or more nodes; root is a member.
+
+    The smallest node that reaches each is its colour; those of a colour that reach it back are one group and leave the graph.
+    """
+    e, out = scratch.write(edges.select("src", "dst").where("src != dst").distinct(), "strong"), None
+    while True:
+        colour = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().withColumn("c", F.col("id"))
+        colour = scratch.write(colour, "strong")
+        while True:
+            via = e.join(colour.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("d"))
+            new = scratch.write(colour.join(via, "id", "left").select("id", F.least("c", "d").alias("c"), (F.col("d") < F.col("c")).alias("less")), "strong")
+            colour = new.select("id", "c")
+            if not new.where("less").limit(1).count():
+                break
+        ends = colour.select(F.col("id").alias("src"), "c").join(e, "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("d")), "dst")
+        inside = scratch.write(ends.where("c = d").select("src", "dst"), "strong")
+        group = front = scratch.write(colour.where("id = c").select("id", F.col("c").alias("root")), "strong")
+        while True:
+            back = inside.join(front.select(F.col("id").alias("dst"), "root"), "dst").select(F.col("src").alias("id"), "root").distinct()
+            front = scratch.write(back.join(group.select("id"), "id", "left_anti"), "strong")
+            if not front.limit(1).count():
+                break
+            group = scratch.write(group.unionByName(front), "strong")
+        out = group if out is None else out.unionByName(group)
+        gone = group.select("id")
+        e = scratch.write(e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "strong")
+        if not e.limit(1).count():
+            break
+    large = out.groupBy("root").count().where("count > 1").select("root")
+    return scratch.write(out.join(large, "root").select("id", "root"), "strong")
+
+
+def _root_cycles(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """``path``: for each root its shortest cycle within its group, ties to the smallest path."""
+    groups = scratch.write(groups.groupBy("root").agg(F.min("id").alias("least"), F.collect_list("id").alias("ids")).select(F.col("least").alias("root"), F.explode("ids").alias("id")), "strong")
+    inside = scratch.write(edges.join(groups.withColumnRenamed("id", "src"), "src").join(groups.select(F.col("id").alias("dst"), F.col("root").alias("_r")), "dst").where("root = _r").select("root", "src", "dst"), "strong")
+    front = scratch.write(groups.where("id = root").select("root", "id", F.array("id").alias("path")), "strong")
+    seen, found = front.select("root", "id"), None
+    while True:
+        on = front.join(inside.withColumnRenamed("src", "id"), ["root", "id"])
+        done = scratch.write(on.where("dst = root").groupBy("root").agg(F.min("path").alias("path")), "strong")
+        found = done.select("path") if found is None else found.unionByName(done.select("path"))
+        step = on.join(done.select("root"), "root", "left_anti").select("root", F.col("dst").alias("id"), F.array_append("path", F.col("dst")).alias("path"))
+        front = scratch.write(step.join(seen, ["root", "id"], "left_anti").groupBy("root", "id").agg(F.min("path").alias("path")), "strong")
+        if not front.limit(1).count():
+            return found
+        seen = scratch.write(seen.unionByName(front.select("root", "id")), "strong")
+
+
 def hubs(edges: DataFrame, nodes: DataFrame, times: float = 2.0) -> DataFrame:
     """Nodes whose degree is `times` the average or more (role hub), and those without edges (role isolated)."""
     own = scratch.write(degrees(edges, nodes), "degrees")

@@ -66,6 +66,12 @@ def test_cycles(spark, work):
     assert [r.path for r in G.cycles(e).collect()] == [["a", "b", "c"]]
 
 
+def test_cycles_of_any_length(spark):
+    ring = [(f"n{i}", f"n{(i + 1) % 9}") for i in range(9)]
+    e = spark.createDataFrame([*ring, ("a", "b"), ("b", "a"), ("a", "n0"), ("n5", "x")], "src string, dst string")
+    assert sorted((r.path, r.length) for r in G.cycles(e).collect()) == [(["a", "b"], 2), ([f"n{i}" for i in range(9)], 9)]
+
+
 def test_empty_graph(spark, work):
     e, n = work[0].where("false"), work[1]
     assert {r.component for r in G.components(e, n).collect()} == set(NODES)
