@@ -114,7 +114,7 @@ ORACLES = {
     "a25_resolution_statistics": """WITH p AS (SELECT p_name AS name FROM part GROUP BY p_name), s AS (SELECT 1.0 - levenshtein(a.name, b.name) / CAST(greatest(length(a.name), length(b.name)) AS DOUBLE) AS score FROM p a JOIN p b ON a.name < b.name AND list_has_any(string_split(a.name, ' '), string_split(b.name, ' ')))
       SELECT 'fuzzy' AS match_type, count(*) AS n, round(avg(score), 5) AS score FROM s WHERE score >= 0.85""",
     "a31_fallback_scores": "SELECT 0.25 AS completeness, 0.2 AS accuracy, 0.4 AS connectivity, 0.28 AS overall",
-    "f7_valid_texts": "SELECT p_partkey FROM part WHERE string_split(p_name, ' ')[1] NOT IN ('small', 'large', 'new', 'old', 'great', 'high') AND length(string_split(p_name, ' ')[1]) > 2",
+    "f7_valid_texts": f"SELECT p_partkey FROM part WHERE NOT list_contains(string_split('{' '.join(E.stop_words())}', ' '), lower(string_split(p_name, ' ')[1])) AND length(string_split(p_name, ' ')[1]) > 2 AND NOT regexp_full_match(string_split(p_name, ' ')[1], '[0-9]+')",
     "k5_ordered_limit": "SELECT 'c' || c_custkey AS id FROM customer ORDER BY id LIMIT 25",
     "q25_logical_bundle": f"WITH {audit.SQL} SELECT rule, count(*) AS n FROM violation WHERE rule IN ('symmetric', 'transitive', 'inverse') GROUP BY rule",
     "r11_relation_instances": "SELECT 'default' AS bank, 'ships' AS relationship_type, count(*) AS n FROM lineitem",

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
-from loomgraph.operators import consistency, extraction, quality, schema
+from loomgraph.operators import consistency, extraction, quality, relations, schema
 from loomgraph.plans import api
 from loomgraph.sources import banks
 
@@ -107,6 +107,17 @@ def test_pattern_classes_against_re(spark):
     assert {"email", "url", "date", "concept", "technical_term", "named_entity"} <= set(got.values())
 
 
+def test_fixed_values():
+    words = extraction.stop_words()
+    assert len(words) == len(set(words)) == 330
+    assert {"able", "bad", "different", "important", "long", "public", "remembering"} <= set(words)
+    assert not {"seed", "goed", "geted", "runing"} & set(words)
+    templates = [t for _, ts in relations.TEMPLATES for t in ts]
+    assert len(templates) == 16 and all("{entity1}" in t and "{entity2}" in t for t in templates)
+    assert relations.template_confidence(r"{entity1}\s+(?:in|at)\s+{entity2}") == pytest.approx(0.65)
+    assert relations.template_confidence(templates[0]) == pytest.approx(0.75)
+
+
 def test_entry_and_oracles():
     import __spark_entry__ as e
 
