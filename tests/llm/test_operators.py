@@ -409,17 +409,38 @@ def test_nearest_neighbours(spark):
     assert nearest_neighbours.search(df.where("false"), F.lit(True)).count() == 0
 
 
-def test_nearest_neighbours_hundreds_of_lists(spark, monkeypatch):
-    monkeypatch.setattr(nearest_neighbours, "LIST_SIZE", 20)
-    x = np.random.default_rng(4).normal(size=(6000, 24))
+def visited(x, queries, **more):
+    """Lists, mean copies of a vector, and the share of rows that a query is compared with."""
+    lists = nearest_neighbours.fit(x, float(np.linalg.norm(x, axis=1).max()), **more)
+    _, homes = lists.homes(lists.lift(x))
+    q, at = lists.visits(np.c_[x[queries], np.zeros(len(queries))])
+    size = np.bincount(homes, minlength=len(lists.centroids))
+    return len(size), len(homes) / len(x), size[at].sum() / len(queries) / len(x), len(at) / len(queries)
+
+
+def test_nearest_neighbours_visit_few_lists(spark, monkeypatch):
+    monkeypatch.setattr(nearest_neighbours, "LIST_SIZE", 25)
+    rnd = np.random.default_rng(4)
+    for name, x in (("random", rnd.normal(size=(6000, 24))), ("clustered", rnd.normal(size=(100, 24))[rnd.integers(0, 100, 6000)] + 0.3 * rnd.normal(size=(6000, 24)))):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        true = x[::60] @ x.T
+        true[np.arange(100), np.arange(0, 6000, 60)] = -np.inf
+        best = {(i * 60, j) for i, row in enumerate(true) for j in np.argsort(-row)[:10].tolist()}
+        found = lambda **more: {(r.query_id, r.vec_id) for r in nearest_neighbours.search(df, F.col("vec_id") % 60 == 0, 10, **more).collect()}  # noqa: B023, E731
+        recall = len(best & found()) / len(best)
+        n, copies, share, lists = visited(x, np.arange(0, 6000, 60), lists=240, pairs=10)
+        print(name, "recall", recall, "lists", n, "visited", lists, "copies", copies, "compared", share)
+        assert recall >= 0.9 and copies < 2 and n > 100
+        assert lists < (n / 2 if name == "random" else n / 10)
+    assert found(exact=True) == best
+
+
+def test_nearest_neighbours_short_lists_are_made_up_for(spark, monkeypatch):
+    monkeypatch.setattr(nearest_neighbours, "LIST_SIZE", 3)
+    x = np.random.default_rng(6).normal(size=(120, 4))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = nearest_neighbours.search(df, F.col("vec_id") % 60 == 0, 10).collect()
-    true = x[::60] @ x.T
-    true[np.arange(100), np.arange(0, 6000, 60)] = -np.inf
-    best = {(i * 60, j) for i, row in enumerate(true) for j in np.argsort(-row)[:10].tolist()}
-    recall = len(best & {(r.query_id, r.vec_id) for r in got}) / len(best)
-    print("recall", recall)
-    assert recall >= 0.98
+    got = nearest_neighbours.search(df, F.col("vec_id") % 20 == 0).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {i: 20 for i in range(0, 120, 20)}
 
 
 def test_lm_scores_prefer_seen_order(spark, docs, none):
