@@ -5,28 +5,32 @@ documents, by counts over every one of them, are tokens; any other word is cut
 into the longest known pieces (frequent runs of up to `PIECE` characters, counted
 over all words) and, where none fits, into bytes. A word's last piece or byte has
 a number of its own, so that tokens cover every text and no two lists of words
-have the same ones. The network predicts each token from the `SIDE` tokens on
+have the same ones. Tokens are numbered by how often they occur in the whole
+corpus (ties by the text). The network predicts each token from the `SIDE` tokens on
 either side: one embedding table for each place of the window is summed and
-squashed, and a two-step softmax gives first the token's class (a band of frequency ranks) and
-then the token within its class. A document's score is the sum of the logarithms
-of these conditional probabilities; the number of words and the mean for each
-word are given beside it.
+squashed, and a two-step softmax gives first the token's
+class (a band of frequency ranks, narrow where tokens are frequent) and then the
+token within its class. It begins at the corpus's own frequencies and learns from
+there. A document's score is the sum of the logarithms of these conditional
+probabilities; the number of words and the mean for each word are given beside it.
 
 Training is distributed: in each round every partition runs stochastic gradient
 steps over its documents of one hash class of ids, from the weights of the round
 before. There are as many classes as rounds, so each document is learnt from
-once, whatever its id. The partitions' weights are averaged by token count. Only the vocabulary and
-the averaged weights, both of a fixed size, reach the driver.
+once, whatever its id. The partitions' weights are averaged by token count. Only
+the vocabulary and the averaged weights, both of a fixed size, reach the driver.
 
 Defined results: a null or empty text has no tokens, log likelihood 0 and mean
-0; repeated rows get equal scores; an empty table gives an empty table; other
-columns are passed through by `score`, except ones named as its outputs.
+0; a text of any length is read whole, in parts of bounded size; repeated rows
+get equal scores and each counts in training; ties among words and pieces go to
+the smaller text; an empty table gives an empty table; other columns are passed
+through by `score`, except ones named as its outputs, which it replaces.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +43,16 @@ from loomgraph import scratch
 from loomgraph.llm.chunks import grouped
 from loomgraph.ship import ship
 
-BYTES, CLASSES, WITHIN = 256, 32, 128
-VOCABULARY = CLASSES * WITHIN
-PIECES, PIECE = 896, 4
+BYTES, VOCABULARY, CLASSES = 256, 8192, 48
+PIECES, PIECE = 1024, 4
 #: Pieces and bytes have two numbers each: within a word and at its end.
 WORDS = VOCABULARY - 2 * (PIECES + BYTES)
 WIDTH, SIDE = 16, 2
+PLACES = [*range(-SIDE, 0), *range(1, SIDE + 1)]
 ROUNDS = 2
-RATE, BATCH, DECAY = 0.35, 2048, 0.5
-TOKENS = 1 << 17
-BLOCK = 8192
+RATE, BATCH, DECAY = 4.0, 8192, 0.5
+TOKENS = 1 << 16
+BLOCK = 16384
 #: Spelt words that a task remembers, and their longest.
 HELD, SHORT = 1 << 18, 64
 
@@ -100,13 +104,48 @@ def _pieces(words: list[str], n: np.ndarray) -> tuple[list[str], np.ndarray]:
     return out, np.concatenate(total) if total else np.zeros(0, np.int64)
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> list[str]:
-    """The `WORDS` most frequent words, then, with a space before each, the `PIECES` pieces that save the most bytes; ties by the text."""
+@dataclass(frozen=True)
+class Vocabulary:
+    """Words and pieces that are tokens, the number of each (first the words, then two for each piece and byte), and how often each number occurs."""
+
+    words: list[str]
+    pieces: list[str]
+    number: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def plain(cls, words: list[str], pieces: list[str]) -> Vocabulary:
+        return cls(words, pieces, np.arange(VOCABULARY, dtype=np.int32), np.zeros(VOCABULARY))
+
+    def ranked(self, counts: np.ndarray) -> Vocabulary:
+        """Numbers by falling count."""
+        order = np.argsort(-counts, kind="stable")
+        number = np.empty(VOCABULARY, np.int32)
+        number[order] = np.arange(VOCABULARY)
+        return replace(self, number=number, counts=counts[order])
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
+    """The `WORDS` most frequent words, and the `PIECES` pieces that save the most bytes; ties by the text."""
     counts = scratch.write(word_counts(docs, text_col), "words")
     words = [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
     saved = F.col("n") * (F.octet_length("piece") - 1)
     pieces = piece_counts(counts).where("octet_length(piece) > 1").orderBy(saved.desc(), "piece").limit(PIECES).collect()
-    return words + [f" {r[0]}" for r in pieces]
+    found = Vocabulary.plain(words, [r[0] for r in pieces])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, total = Numbers(found), np.zeros(VOCABULARY, np.int64)
+        for batch in batches:
+            n = batch.column(1).to_numpy()
+            tokens, ends, _ = numbers.of(batch.column(0))
+            total += np.bincount(tokens, np.repeat(n, np.diff(ends, prepend=0)), VOCABULARY).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["token", "n"])
+
+    total = np.zeros(VOCABULARY)
+    for token, n in counts.select("word", "n").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n")).collect():
+        total[token] = n
+    return found.ranked(total)
 
 
 def _words(texts: pa.Array) -> pa.ListArray:
@@ -114,16 +153,17 @@ def _words(texts: pa.Array) -> pa.ListArray:
 
 
 class Numbers:
-    """From words to token numbers: words, then pieces, then bytes, which take the last numbers."""
+    """From words to token numbers."""
 
-    def __init__(self, words: list[str]):
-        self.known = pa.array([w for w in words if not w.startswith(" ")], pa.string())
-        self.piece = {w[1:]: WORDS + 2 * i for i, w in enumerate(w for w in words if w.startswith(" "))}
+    def __init__(self, vocabulary: Vocabulary):
+        self.known = pa.array(vocabulary.words, pa.string())
+        self.piece = {p: WORDS + 2 * i for i, p in enumerate(vocabulary.pieces)}
+        self.number = vocabulary.number
         self.base = VOCABULARY - 2 * BYTES
         self.held: dict[str, list[int]] = {}
 
     def spelt(self, word: str) -> list[int]:
-        """Numbers of the longest pieces from the left; of bytes where none fits. The last is one higher."""
+        """The longest pieces from the left; bytes where none fits. The last is one higher. These are not yet numbers by count."""
         out = self.held.get(word)
         if out is not None:
             return out
@@ -163,16 +203,36 @@ class Numbers:
         index = coded.indices.to_numpy(zero_copy_only=False)
         count = size[index]
         stops = np.concatenate([[0], np.cumsum(count)])
-        tokens = flat[np.repeat(begin[:-1][index] - stops[:-1], count) + np.arange(stops[-1])]
+        tokens = self.number[flat][np.repeat(begin[:-1][index] - stops[:-1], count) + np.arange(stops[-1])]
         full = np.concatenate([[0], np.cumsum(count > 0)])
         bounds = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
         return tokens, stops[bounds][1:], np.diff(full[bounds])
 
 
+def bands(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """Where the classes begin: about equal sums of the counts' square roots, which keeps the expected size of a token's class small."""
+    mass = np.cumsum(np.sqrt(counts + 1.0))
+    cut = np.searchsorted(mass, mass[-1] * np.arange(1, classes) / classes)
+    edges = np.concatenate([[0], cut, [len(counts)]])
+    # none is empty
+    edges = np.maximum.accumulate(edges - np.arange(classes + 1)) + np.arange(classes + 1)
+    return np.minimum(edges, len(counts) - classes + np.arange(classes + 1))
+
+
+def spaced(tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts one after the other with `SIDE` times "no token" before and after each, and where the tokens are."""
+    doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    at = np.arange(len(tokens)) + SIDE * (doc + 1)
+    row = np.full(len(tokens) + SIDE * (len(ends) + 1), VOCABULARY, np.int16)
+    row[at] = tokens
+    return row, at
+
+
 @dataclass
 class Network:
-    """`place`: one table for each place of the window, with a row for "no token"; `one`, `two`: the two steps of the softmax."""
+    """`place`: one table for each place of the window, with a row for each token and for "no token"; `one`, `two`: the two steps of the softmax; `edges`: where classes begin."""
 
+    edges: np.ndarray
     place: np.ndarray
     hidden: np.ndarray
     one: np.ndarray
@@ -181,184 +241,212 @@ class Network:
     two_bias: np.ndarray
 
     @classmethod
-    def fresh(cls, seed: int = 3) -> Network:
+    def fresh(cls, counts: np.ndarray | None = None, seed: int = 3) -> Network:
+        """Random embeddings; biases that give each token its share of `counts`."""
         rnd = np.random.default_rng(seed)
         f = np.float32
+        counts = np.zeros(VOCABULARY) if counts is None else counts
+        edges = bands(counts)
+        log = np.log(counts + 0.5)
+        mass = np.logaddexp.reduceat(log, edges[:-1])
         return cls(
-            rnd.normal(0, 0.1, (2 * SIDE, VOCABULARY + 1, WIDTH)).astype(f),
+            edges,
+            rnd.normal(0, 0.1, (len(PLACES), VOCABULARY + 1, WIDTH)).astype(f),
             np.zeros(WIDTH, f),
-            rnd.normal(0, 0.1, (WIDTH, CLASSES)).astype(f),
-            np.zeros(CLASSES, f),
-            rnd.normal(0, 0.1, (CLASSES, WIDTH, WITHIN)).astype(f),
-            np.zeros((CLASSES, WITHIN), f),
+            np.zeros((WIDTH, CLASSES), f),
+            (mass - np.logaddexp.reduce(mass)).astype(f),
+            np.zeros((WIDTH, VOCABULARY), f),
+            (log - np.repeat(mass, np.diff(edges))).astype(f),
         )
 
+    def weights(self) -> list[np.ndarray]:
+        return [x for k, x in vars(self).items() if k != "edges"]
+
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in vars(self).values()])
+        return np.concatenate([x.ravel() for x in self.weights()])
 
-    @classmethod
-    def shaped(cls, flat: np.ndarray) -> Network:
-        like, at, out = cls.fresh(), 0, []
-        for x in vars(like).values():
+    def shaped(self, flat: np.ndarray) -> Network:
+        """Another network with these weights."""
+        at, out = 0, []
+        for x in self.weights():
             out.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
-        return cls(*out)
-
-    def windows(self, tokens: np.ndarray, ends: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        """Numbers at each place of the windows of tokens `lo` to `hi`; beyond the ends of a text there is "no token"."""
-        i = np.arange(lo, hi)
-        doc = np.searchsorted(ends, i, "right")
-        start = np.concatenate([[0], ends])[doc]
-        stop = ends[doc]
-        out = np.empty((2 * SIDE, hi - lo), np.int32)
-        for k, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-            j = i + step
-            inside = (j >= start) & (j < stop)
-            out[k] = np.where(inside, tokens[np.clip(j, 0, len(tokens) - 1)], VOCABULARY)
-        return out
+        return Network(self.edges, *out)
 
-    def states(self, around: np.ndarray) -> np.ndarray:
-        h = self.place[0].take(around[0], axis=0)
-        for k in range(1, 2 * SIDE):
-            h += self.place[k].take(around[k], axis=0)
-        h += self.hidden
+    def states(self, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of the tokens at `at`: from the rows of the tokens around them."""
+        h = np.broadcast_to(self.hidden, (len(at), WIDTH)).copy()
+        for k, step in enumerate(PLACES):
+            h += self.place[k].take(row[at + step], axis=0)
         return np.tanh(h, out=h)
 
+    def classes(self) -> np.ndarray:
+        """The class of each token."""
+        return np.repeat(np.arange(CLASSES, dtype=np.int16), np.diff(self.edges))
+
     def log_probability(self, tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Of each token, given its neighbours, in parts of bounded size."""
         out = np.empty(len(tokens), np.float32)
+        row, every = spaced(tokens, ends)
+        of = self.classes()
         for lo in range(0, len(tokens), TOKENS):
-            hi = min(lo + TOKENS, len(tokens))
-            h = self.states(self.windows(tokens, ends, lo, hi))
-            own = tokens[lo:hi]
-            group, member = own // WITHIN, own % WITHIN
-            z = h @ self.one + self.one_bias
+            own = tokens[lo : lo + TOKENS]
+            h = self.states(row, every[lo : lo + TOKENS])
+            group = of[own]
+            z = np.minimum(h @ self.one + self.one_bias, MOST)
             got = z[np.arange(len(own)), group] - _log_sum(z)
-            order = np.argsort(group.astype(np.int8), kind="stable")
-            edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
-            for c in range(CLASSES):
-                at = order[edges[c] : edges[c + 1]]
-                if len(at):
-                    z = h[at] @ self.two[c] + self.two_bias[c]
-                    got[at] += z[np.arange(len(at)), member[at]] - _log_sum(z)
-            out[lo:hi] = got
+            for c, at in _by_class(group):
+                a, b = self.edges[c], self.edges[c + 1]
+                z = np.minimum(h[at] @ self.two[:, a:b] + self.two_bias[a:b], MOST)
+                got[at] += z[np.arange(len(at)), own[at] - a] - _log_sum(z)
+            out[lo : lo + TOKENS] = got
         return out
 
     def learn(self, tokens: np.ndarray, ends: np.ndarray, rate: float) -> None:
         """One pass of gradient steps over the tokens."""
+        row, every = spaced(tokens, ends)
+        of = self.classes()
         for lo in range(0, len(tokens), BATCH):
-            hi = min(lo + BATCH, len(tokens))
-            n = hi - lo
-            around = self.windows(tokens, ends, lo, hi)
-            h = self.states(around)
-            own = tokens[lo:hi]
-            group, member = own // WITHIN, own % WITHIN
+            at, own = every[lo : lo + BATCH], tokens[lo : lo + BATCH]
+            n = len(own)
+            h = self.states(row, at)
+            group = of[own]
             p = _softmax(h @ self.one + self.one_bias)
             p[np.arange(n), group] -= 1
             back = p @ self.one.T
             self.one -= rate / n * (h.T @ p)
             self.one_bias -= rate / n * p.sum(0)
-            order = np.argsort(group.astype(np.int8), kind="stable")
-            edges = np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist()
-            by_class, within, added = h[order], member[order], np.empty_like(h)
-            for c in range(CLASSES):
-                lo_c, hi_c = edges[c], edges[c + 1]
-                if lo_c < hi_c:
-                    hc = by_class[lo_c:hi_c]
-                    q = _softmax(hc @ self.two[c] + self.two_bias[c])
-                    q[np.arange(hi_c - lo_c), within[lo_c:hi_c]] -= 1
-                    np.matmul(q, self.two[c].T, out=added[lo_c:hi_c])
-                    # a class is met in part of the steps: its own share sets the step
-                    step = rate / (hi_c - lo_c + 16)
-                    self.two[c] -= step * (hc.T @ q)
-                    self.two_bias[c] -= step * q.sum(0)
-            back[order] += added
+            for c, i in _by_class(group):
+                a, b = self.edges[c], self.edges[c + 1]
+                hc = h[i]
+                q = _softmax(hc @ self.two[:, a:b] + self.two_bias[a:b])
+                q.reshape(-1)[np.arange(len(i)) * (b - a) + own[i] - a] -= 1
+                back[i] += q @ self.two[:, a:b].T
+                # a class is met in part of the steps: its own share sets the step
+                step = rate / (len(i) + 16)
+                self.two[:, a:b] -= step * (hc.T @ q)
+                self.two_bias[a:b] -= step * q.sum(0)
             back *= 1 - h * h
             self.hidden -= rate / n * back.sum(0)
-            for k in range(2 * SIDE):
-                ids = around[k].astype(np.int16)
-                order = np.argsort(ids, kind="stable")
-                first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-                total = np.add.reduceat(back[order], first, axis=0)
-                count = np.diff(first, append=n)
-                self.place[k][ids[order][first]] -= rate * total / (count + 4)[:, None]
+            # what each token around a predicted one gets, by its place in the window
+            first, last = at[0] - SIDE, at[-1] + SIDE + 1
+            got = np.zeros((last - first, len(PLACES) * WIDTH), np.float32)
+            for k, step in enumerate(PLACES):
+                got[at + (step - first), k * WIDTH : (k + 1) * WIDTH] = back
+            near = row[first:last]
+            order = np.argsort(near, kind="stable")
+            near = near[order]
+            start = np.flatnonzero(np.diff(near, prepend=-1))
+            count = np.diff(start, append=len(near))
+            total = _sums(got.take(order, axis=0), start, count)
+            total *= (rate / (count + 4)).astype(np.float32)[:, None]
+            for k in range(len(PLACES)):
+                self.place[k][near[start]] -= total[:, k * WIDTH : (k + 1) * WIDTH]
+
+
+def _sums(rows: np.ndarray, start: np.ndarray, count: np.ndarray, few: int = 4) -> np.ndarray:
+    """Sums of the runs of `rows` that begin at `start`: the first rows of all runs at once, the rest of each long one apart."""
+    out = rows[start]
+    for r in range(1, few):
+        at = np.flatnonzero(count > r)
+        out[at] += rows[start[at] + r]
+    for i in np.flatnonzero(count > few).tolist():
+        out[i] += rows[start[i] + few : start[i] + count[i]].sum(0)
+    return out
+
+
+def _by_class(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each class that occurs and where."""
+    order = np.argsort(group, kind="stable")
+    edges = np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist()
+    for c, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        if a < b:
+            yield c, order[a:b]
+
+
+#: Scores are cut here, far beyond what is learnt, so that no exponential overflows.
+MOST = 60.0
+
+
+def _sum(e: np.ndarray) -> np.ndarray:
+    return e @ np.ones(e.shape[1], e.dtype) + np.float32(1e-30)
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
-    top = z.max(1)
-    z = z - top[:, None]
-    return np.log(np.exp(z, out=z).sum(1)) + top
+    """Of the exponentials of each row of `z`, which is used up."""
+    return np.log(_sum(np.exp(z, out=z)))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1)[:, None]
+    np.minimum(z, MOST, out=z)
     np.exp(z, out=z)
-    z /= z.sum(1)[:, None]
+    z *= (1 / _sum(z))[:, None]
     return z
 
 
-def train(docs: DataFrame, words: list[str], text_col: str = "text", id_col: str = "doc_id", rounds: int = ROUNDS, share: int | None = None) -> Network:
+def train(docs: DataFrame, words: Vocabulary, text_col: str = "text", id_col: str = "doc_id", rounds: int = ROUNDS, share: int | None = None) -> Network:
     """Rounds of distributed steps and averaging; round r learns from the ids whose hash modulo `share` is r modulo `share`. By default `share` is the number of rounds; with no more classes than rounds every document is learnt from."""
     share = share or rounds
     ship(docs.sparkSession)
-    net = Network.fresh()
+    net = Network.fresh(words.counts)
     size = net.flat().size
     key = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(share))
+    form = "block int, n long, part binary"
     for r in range(rounds):
-        start = net.flat()
         rate = RATE * DECAY**r
 
-        def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = start, rate: float = rate) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], start: Network = net, rate: float = rate) -> Iterator[pa.RecordBatch]:
             numbers, own, seen = Numbers(words), None, 0
             for batch in grouped(batches, 0):
                 tokens, ends, _ = numbers.of(batch.column(0))
                 if len(tokens):
-                    own = own or Network.shaped(start)
+                    own = own or start.shaped(start.flat())
                     own.learn(tokens, ends, rate)
                     seen += len(tokens)
             if own is not None:
                 flat = own.flat()
                 for k, lo in enumerate(range(0, size, BLOCK)):
-                    part = (flat[lo : lo + BLOCK].astype(np.float64) * seen).astype("<f8").tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([seen], pa.int64()), pa.array([part], pa.binary())], names=["block", "n", "part"])
+                    yield _block(k, seen, flat[lo : lo + BLOCK])
 
-        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list] = {}
             for batch in batches:
                 for k, n, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    x = np.frombuffer(part, "<f8")
+                    x = np.frombuffer(part, "<f4").astype(np.float64) * n
                     if k in sums:
                         sums[k][0] += n
-                        sums[k][1] = sums[k][1] + x
+                        sums[k][1] += x
                     else:
                         sums[k] = [n, x]
             for k, (n, x) in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([x.astype("<f8").tobytes()], pa.binary())], names=["block", "n", "part"])
+                yield _block(k, n, x / n)
 
-        form = "block int, n long, part binary"
         taken = docs.where((key == r % share) if share > 1 else F.lit(True)).select(text_col)
-        # a fixed number of first sums for each block, then one: no task takes in all partitions' weights
+        # a fixed number of first means for each block, then one: no task takes in all partitions' weights
         parts = taken.mapInArrow(run, form).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
-        first = parts.repartition("block", "salt").drop("salt").mapInArrow(total, form)
-        got = first.repartition("block").mapInArrow(total, form).collect()
+        first = parts.repartition("block", "salt").drop("salt").mapInArrow(mean, form)
+        got = first.repartition("block").mapInArrow(mean, form).collect()
         if got:
-            net = Network.shaped(np.concatenate([np.frombuffer(x.part, "<f8") / x.n for x in sorted(got, key=lambda x: x.block)]))
+            net = net.shaped(np.concatenate([np.frombuffer(x.part, "<f4") for x in sorted(got, key=lambda x: x.block)]))
     return net
 
 
-def score(docs: DataFrame, words: list[str], net: Network, text_col: str = "text") -> DataFrame:
+def _block(k: int, n: int, part: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([part.astype("<f4").tobytes()], pa.binary())], names=["block", "n", "part"])
+
+
+def score(docs: DataFrame, words: Vocabulary, net: Network, text_col: str = "text") -> DataFrame:
     """`docs` with ``n_tokens`` (words), ``log_likelihood`` (of all their tokens) and ``mean_log_probability`` (for each word)."""
     ship(docs.sparkSession)
     names = ("n_tokens", "log_likelihood", "mean_log_probability")
     kept = [c for c in docs.columns if c not in names]
     schema = StructType([*[docs.schema[c] for c in kept], StructField(names[0], LongType()), StructField(names[1], DoubleType()), StructField(names[2], DoubleType())])
-    flat = net.flat()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, own = Numbers(words), Network.shaped(flat)
+        numbers = Numbers(words)
         for batch in grouped(batches, len(kept)):
             tokens, ends, n = numbers.of(batch.column(len(kept)))
-            sums = np.concatenate([[0.0], np.cumsum(own.log_probability(tokens, ends), dtype=np.float64)])
+            sums = np.concatenate([[0.0], np.cumsum(net.log_probability(tokens, ends), dtype=np.float64)])
             starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
             total = sums[ends] - sums[starts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n.astype(np.int64)), pa.array(total), pa.array(total / np.maximum(1, n))], names=[*kept, *names])

@@ -448,7 +448,8 @@ def test_lm_scores_prefer_seen_order(spark, docs, none):
     rows = [(i, " ".join(w for _ in range(rnd.randint(20, 60)) for w in (rnd.choice(["red", "blue"]), "fish", "swims"))) for i in range(300)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     words = lm_scoring.vocabulary(d)
-    assert words[:2] == ["fish", "swims"]
+    assert words.words[:2] == ["fish", "swims"]
+    assert words.counts.tolist() == sorted(words.counts, reverse=True) and words.counts.sum() == sum(len(t.split()) for _, t in rows)
     net = lm_scoring.train(d, words, share=1, rounds=3)
     probe = spark.createDataFrame([(1, "red fish swims blue fish swims"), (2, "swims swims red red fish fish")], "doc_id long, text string")
     got = {r.doc_id: r.mean_log_probability for r in lm_scoring.score(probe, words, net).collect()}
@@ -457,7 +458,7 @@ def test_lm_scores_prefer_seen_order(spark, docs, none):
     assert len(odd) == docs.count()
     assert all(r.n_tokens == len((r.text or "").split()) and r.log_likelihood <= 0 for r in odd)
     assert lm_scoring.score(none, words, net).count() == 0
-    assert lm_scoring.vocabulary(none) == []
+    assert lm_scoring.vocabulary(none).words == []
 
 
 def test_lm_rare_words_have_their_own_tokens(spark):
@@ -477,7 +478,7 @@ def test_lm_rare_words_have_their_own_tokens(spark):
 def test_lm_learns_from_every_document(spark):
     rows = spark.range(400).selectExpr("id as doc_id", "concat('word', id % 7, ' of text') as text")
     words, key = lm_scoring.vocabulary(rows), F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(32))
-    fresh = lm_scoring.Network.fresh().flat()
+    fresh = lm_scoring.Network.fresh(words.counts).flat()
     for some in (rows.where(key == 17), rows.where(key > 1), rows.withColumn("doc_id", F.lit(None).cast("long"))):
         assert not np.array_equal(lm_scoring.train(some, words).flat(), fresh)
     seen = []
@@ -487,13 +488,86 @@ def test_lm_learns_from_every_document(spark):
 
 
 def test_lm_probabilities_sum_to_one():
-    net = lm_scoring.Network.fresh()
+    net = lm_scoring.Network.fresh(np.arange(lm_scoring.VOCABULARY, 0, -1) ** 1.5)
+    rnd = np.random.default_rng(1)
+    net = net.shaped(net.flat() + rnd.normal(0, 0.3, net.flat().size))
     total = 0.0
     for t in range(lm_scoring.VOCABULARY):
         total += float(np.exp(net.log_probability(np.array([5, t, 9], np.int32), np.array([3]))[1]))
     assert total == pytest.approx(1.0, abs=1e-3)
 
 
+def naive_log_likelihood(net, tokens):
+    """Token by token, one text, in plain loops over the window."""
+    total = 0.0
+    for i, t in enumerate(tokens):
+        h = net.hidden.astype(float).copy()
+        for k, step in enumerate((-2, -1, 1, 2)):
+            j = i + step
+            h += net.place[k][tokens[j] if 0 <= j < len(tokens) else lm_scoring.VOCABULARY]
+        h = np.tanh(h)
+        c = max(c for c in range(lm_scoring.CLASSES) if net.edges[c] <= t)
+        one = h @ net.one + net.one_bias
+        a, b = net.edges[c], net.edges[c + 1]
+        two = h @ net.two[:, a:b] + net.two_bias[a:b]
+        total += one[c] - np.log(np.exp(one).sum()) + two[t - a] - np.log(np.exp(two).sum())
+    return total
+
+
+def test_lm_scores_against_plain_loops(spark, docs):
+    words = lm_scoring.vocabulary(docs)
+    net = lm_scoring.Network.fresh(words.counts)
+    net = net.shaped(net.flat() + np.random.default_rng(1).normal(0, 0.3, net.flat().size))
+    numbers = lm_scoring.Numbers(words)
+    for r in lm_scoring.score(docs, words, net).collect():
+        tokens = [x for w in (r.text or "").split()[:3000] for x in numbers.of(lm_scoring.pa.array([w]))[0].tolist()]
+        if r.n_tokens <= 3000:
+            want = naive_log_likelihood(net, tokens)
+            assert r.log_likelihood == pytest.approx(want, rel=1e-4, abs=1e-4)
+            assert r.mean_log_probability == pytest.approx(want / max(1, r.n_tokens), rel=1e-4, abs=1e-4)
+
+
+def test_lm_steps_go_down_the_slope():
+    """A gradient step moves each table by the slope of the loss, measured by small differences."""
+    rnd = np.random.default_rng(2)
+    tokens, ends = rnd.integers(0, 50, 12).astype(np.int32), np.array([5, 5, 12])
+    net = lm_scoring.Network.fresh(np.arange(lm_scoring.VOCABULARY, 0, -1.0))
+    net = net.shaped(net.flat() + rnd.normal(0, 0.2, net.flat().size))
+    loss = lambda n: -float(n.log_probability(tokens, ends).astype(float).sum())
+    moved = net.shaped(net.flat())
+    moved.learn(tokens, ends, 1e-3)
+    for name in ("place", "hidden", "one", "one_bias", "two", "two_bias"):
+        before, after = getattr(net, name), getattr(moved, name)
+        step = (after - before).ravel()
+        for at in np.argsort(-np.abs(step))[:3]:
+            slope = []
+            for e in (3e-2, -3e-2):
+                other = net.shaped(net.flat())
+                getattr(other, name).ravel()[at] += e
+                slope.append(loss(other))
+            assert np.sign(step[at]) == -np.sign(slope[0] - slope[1]), name
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_lm_beats_unigrams_on_texts_it_has_not_seen(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    seen, held = docs.where("doc_id % 10 != 3"), docs.where("doc_id % 10 = 3 and length(text) < 20000")
+    words = lm_scoring.vocabulary(seen)
+    net = lm_scoring.train(seen, words)
+    share = np.log((words.counts + 0.5) / (words.counts + 0.5).sum())
+    numbers, rnd = lm_scoring.Numbers(words), random.Random(3)
+    texts = [r.text or "" for r in held.collect()]
+    mixed = [" ".join(rnd.sample(t.split(), len(t.split()))) for t in texts]
+    got, n = {}, sum(len(t.split()) for t in texts)
+    for name, part in (("real", texts), ("mixed", mixed)):
+        tokens, ends, _ = numbers.of(lm_scoring.pa.array(part))
+        got[name] = net.log_probability(tokens, ends).astype(float).sum() / n
+        got["unigram"] = share[tokens].sum() / n
+    print(got)
+    assert got["real"] > got["unigram"] + 1
+    assert got["real"] > got["mixed"] + 0.1
+
+
 def test_pipeline_stages(spark, tmp_path, docs):
     import corpus_pipeline
 
