@@ -36,16 +36,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     a, b = edges.columns[:2]
-    own = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"`{a}` is not null and `{b}` is not null")
-    loops = own.where("u = v").select("u").distinct()
-    now = scratch.write(own.where("u != v").distinct(), "cc")
+    # written once: the edges may be costly to find
+    own = scratch.write(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"`{a}` is not null and `{b}` is not null").distinct(), "cc")
+    loops = own.where("u = v").select("u")
+    now, first = own.where("u != v"), True
     key = F.xxhash64("u", "v").cast("decimal(38,0)")
     seen = None
     for _ in range(max_rounds):
         new = scratch.write(_small_star(_large_star(now)).distinct(), "cc")
         mark = tuple(new.agg(F.count("*"), F.sum(key)).first())
-        scratch.drop(spark, now)
-        now = new
+        if not first:
+            scratch.drop(spark, now)
+        now, first = new, False
         if mark == seen or not mark[0]:
             break
         seen = mark

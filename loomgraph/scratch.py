@@ -6,6 +6,7 @@ executor then costs one re-read, never a recomputation from the source.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,14 @@ _MADE: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; a temporary one only where the session names none."""
+    """The shared folder that the session names; where it names none, one below the warehouse, or a temporary one in local mode."""
     at = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get("at")
     if not at:
-        at = _OWN["at"] = f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
+        if re.match(r"local(\[|$)", spark.sparkContext.master):
+            at = f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
+        else:
+            at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/loomgraph-scratch"
+        _OWN["at"] = at
     return at.rstrip("/")
 
 
