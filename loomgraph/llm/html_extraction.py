@@ -14,11 +14,15 @@ styles, templates and the page's head are never text. Character references are
 decoded; white space inside a block becomes one space; inline tags join, `<br>`
 counts as white space.
 
-Defined results: a null or empty html gives the empty text; unclosed, stray and
-truncated tags are taken as they come (an unclosed comment or tag hides the
-rest); a page of any length is read whole; repeated rows get equal results; an
-empty table gives an empty table. Other columns are passed through by `extract`,
-except ones named as its outputs.
+Defined results: a null or empty html gives the empty text. Quotes in a tag count
+after ``=`` only; a quote that is never closed is a plain character, so its tag
+ends at the next ``>``, as does a comment that is never closed; a tag with no
+``>`` after it is no text. A script or style that is never closed hides the rest.
+The ``hidden`` attribute and styles are not looked at. A page of any length is
+read whole, in time that grows with its length; only features are bounded (an
+element knows `KNOWN` words of its ancestors). Ties between labels go to "not
+kept"; repeated rows get equal results; an empty table gives an empty table.
+Other columns are passed through by `extract`, except ones named as its outputs.
 """
 
 from __future__ import annotations
@@ -51,7 +55,11 @@ CONTAINERS = frozenset("article aside body div dl fieldset footer form header ma
 SECTIONS = frozenset("article aside dialog div footer form header main nav section".split())
 CLOSES_P = BLOCK_TAGS - {"html", "body"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: Words of its ancestors that an element knows at most.
+KNOWN = 400
+
+_START = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?])")
+_QUOTE = re.compile(r">|=\s*([\"'])")
 _ATTR = re.compile(r"(?i)\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _WORD = re.compile(r"[a-z]+")
 
@@ -67,16 +75,31 @@ class Block:
 
 @dataclass
 class _Node:
+    """An open element; `block` and `near` are the tag of the nearest block and the words of the nearest section, itself included."""
+
     tag: str
-    words: tuple[str, ...]
     around: frozenset[str]
     hidden: bool
+    block: str
+    near: tuple[str, ...]
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag whose name ends at `at` ends: at its first ``>`` outside of quoted values. There is a ``>`` after `at`."""
+    look = at
+    while m := _QUOTE.search(page, look):
+        if not m[1]:
+            return m.start()
+        if (look := page.find(m[1], m.end()) + 1) == 0:
+            break
+    return page.find(">", m.end() if m and page.find(">", m.end()) >= 0 else at)
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page, in page order, without those that hold no text."""
     out: list[Block] = []
-    stack = [_Node("", (), frozenset(), False)]
+    stack = [_Node("", frozenset(), False, "", ())]
+    count: dict[str, int] = {}
     sets: dict[tuple[frozenset[str], str], frozenset[str]] = {}
     held: list[str] = []
     linked, anchors, hidden = 0, 0, 0
@@ -87,9 +110,7 @@ def blocks(page: str) -> list[Block]:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                parent = next((n.tag for n in reversed(stack) if n.tag in BLOCK_TAGS), "")
-                near = next((n.words for n in reversed(stack) if n.tag in SECTIONS), ())
-                out.append(Block(text, owner.around, parent, near, linked))
+                out.append(Block(text, owner.around, stack[-1].block, stack[-1].near, linked))
             held.clear()
         linked = 0
 
@@ -107,51 +128,69 @@ def blocks(page: str) -> list[Block]:
         for n in stack[k:]:
             anchors -= n.tag == "a"
             hidden -= n.hidden
+            count[n.tag] -= 1
         del stack[k:]
 
-    at = 0
-    find = _TOKEN.search
-    while m := find(page, at):
+    at, last = 0, page.rfind(">")
+    missing: set[str] = set()
+    find = _START.search
+    while (m := find(page, at)) and m.start() < last:
         say(page[at : m.start()])
-        at = m.end()
         if not m[2]:
+            at = 0
+            if m[0] == "<!--" and "-->" not in missing:
+                at = page.find("-->", m.end() - 2) + 3
+                if at < 3:
+                    missing.add("-->")
+            if at < 3:
+                at = page.find(">", m.end()) + 1 or m.end()
             continue
+        end = _tag_end(page, m.end())
+        own = page[m.end() : end]
+        at = end + 1
         tag = m[2].lower()
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
             if tag in BLOCK_TAGS:
                 flush()
-            if k:
-                pop(k)
+            if count.get(tag):
+                pop(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         if tag == "br":
             say(" ")
             continue
         if tag in BLOCK_TAGS:
             flush()
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and count.get("p"):
                 k = _open(stack, ("p",))
                 if k:
                     pop(k)
-            if tag in ENDS and (k := _open(stack, tuple(ENDS[tag].split()))):
+            if tag in ENDS and any(count.get(t) for t in ENDS[tag].split()) and (k := _open(stack, tuple(ENDS[tag].split()))):
                 pop(k)
         if tag in VOID:
             continue
         words = [tag]
-        if m[3]:
-            for a in _ATTR.finditer(m[3]):
+        if own:
+            for a in _ATTR.finditer(own):
                 words += [f"={w}" for w in _WORD.findall((a[2] or a[3] or a[4] or "").lower())]
-        key = (stack[-1].around, " ".join(words))
+        above = stack[-1]
+        key = (above.around, " ".join(words))
         if key not in sets:
-            sets[key] = key[0].union(words)
-        stack.append(_Node(tag, tuple(words), sets[key], tag in HIDDEN))
+            sets[key] = key[0].union(words) if len(key[0]) < KNOWN else key[0]
+        stack.append(_Node(tag, sets[key], tag in HIDDEN, tag if tag in BLOCK_TAGS else above.block, tuple(words) if tag in SECTIONS else above.near))
+        count[tag] = count.get(tag, 0) + 1
         anchors += tag == "a"
         hidden += tag in HIDDEN
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            closing = None if tag in missing else re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
+            if closing:
+                at = closing.end()
+            else:
+                # none further on either
+                missing.add(tag)
+                at = page.find("<", at) if tag in ("textarea", "title") else -1
+                at = len(page) if at < 0 else at
             pop(len(stack) - 1)
-        elif m[3].rstrip().endswith("/") and tag not in BLOCK_TAGS and tag in HIDDEN:
+        elif own.rstrip().endswith("/") and tag not in BLOCK_TAGS and tag in HIDDEN:
             pop(len(stack) - 1)
     tail = page[at:]
     cut = re.search(r"<(?:[a-zA-Z/!?]|\Z)", tail)
