@@ -1,17 +1,21 @@
 """Weak supervision over quality rules, in DataFrame expressions only.
 
-Every rule votes good (1), bad (0) or abstains (null) on a text. Rules are never
-combined by "all must pass": an expectation-maximisation over the counts of vote
-patterns (at most 3^rules rows, whatever the table's size) estimates each rule's
-accuracy and the share of good texts without labels, and a text's posterior
-probability of being good follows from its votes.
+Every rule votes good (1) on a text that is clearly without its fault, bad (0) on
+one that has it, and abstains (null) between. Rules are never combined by "all
+must pass": an expectation-maximisation over the counts of vote patterns (at most
+3^rules rows, whatever the table's size) estimates without labels the share of
+good texts and how often each rule votes good on good and on bad texts. A text's
+posterior probability of being good follows from its votes, so a rule whose bad
+votes stand alone, as `ending` and `digits` do, is outvoted, and one whose bad votes
+go together with others' is believed even alone.
 
 Words are runs of characters other than ``\\x20 \\x09-\\x0D``. Defined results:
-a null text has no words, so every count is 0 and `base_failed` is true; ties at
-a posterior of exactly one half are kept; repeated rows get equal results; an
-empty table gives an empty table. Extra columns are passed through by
-`annotate`; a column whose name clashes with one of `STATS`, ``base_failed``,
-``votes``, ``posterior`` or ``kept`` is replaced.
+a null text has no words, so every count is 0 and `base_failed` is true; a text of
+any length is read whole; ties at a posterior of exactly one half are kept; repeated
+rows get equal results and each counts in the estimation; an empty table gives an
+empty table. `annotate` passes extra columns through, except ones named as its
+outputs (`STATS`, ``base_failed``, ``votes``, ``posterior``, ``kept``), which it replaces;
+`stage` leaves every column of its documents as it is.
 """
 
 from __future__ import annotations
@@ -29,10 +33,17 @@ BLANK = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-EXTRA = ("n_lines", "n_adjacent", "n_upper", "n_banged", "n_plain")
+EXTRA = ("n_lines", "n_adjacent", "n_upper", "n_banged", "n_digits", "n_ends", "n_plain")
 #: A word of letters with one closing mark at most, between white space.
 PLAIN = r"(?<=^|[ \t\n\x0B\f\r])\p{L}[\p{L}\p{M}'’-]*[.,;:!?]?(?=[ \t\n\x0B\f\r]|\z)"
 
+#: A closing mark, and quotes or brackets after it, at the end of the text.
+ENDS = r"[.!?…:;][\"'”’»)\]]*[ \t\n\x0B\f\r]*\z"
+
+
+#: Columns that stand for parts while they are measured.
+W, L, P = "__rules_words", "__rules_lines", "__rules_plain"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of `value`, evaluated once: inside a lambda an outer expression would be evaluated for each element."""
@@ -68,7 +79,7 @@ def repeat_words(words: Column) -> Column:
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with `STATS` and `EXTRA`, all long."""
+    """`docs` with `STATS` and `EXTRA`, all long, in place of columns of those names."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     without = lambda pattern: F.char_length(F.regexp_replace(text, pattern, ""))
 
@@ -87,53 +98,58 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "word_chars": without(WHITE),
         "n_symbols": without(r"[^#*$%&|<>]+"),
         "n_upper": without(r"[^A-Z]+"),
+        "n_digits": without(r"[^0-9]+"),
+        "n_ends": F.rlike(text, F.lit(ENDS)).cast("int"),
         "n_plain": F.regexp_count(text, F.lit(PLAIN)),
         "n_banged": F.char_length(text) - F.char_length(F.replace(text, F.lit("!!"), F.lit("!"))),
     }
-    out = docs.withColumns({"_w": let(words_of(text), of_words), "_l": let(lines, of_lines), **plain})
-    parts = {c: F.col(f"_w.{c}") for c in ("n_words", "n_repeat_words", "n_adjacent")} | {c: F.col(f"_l.{c}") for c in ("n_lines", "n_dup_lines")}
-    parts |= {c: F.col(c) for c in plain}
-    return out.withColumns({c: v.cast("long") for c, v in parts.items()}).drop("_w", "_l")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*STATS, *EXTRA)]
+    own = docs.select(*kept, let(words_of(text), of_words).alias(W), let(lines, of_lines).alias(L), F.struct(*[v.alias(k) for k, v in plain.items()]).alias(P))
+    parts = {c: f"{W}.{c}" for c in ("n_words", "n_repeat_words", "n_adjacent")} | {c: f"{L}.{c}" for c in ("n_lines", "n_dup_lines")} | {c: f"{P}.{c}" for c in plain}
+    return own.select(*kept, *[F.col(v).cast("long").alias(c) for c, v in parts.items()])
+
+
+#: Each rule's name, good sign and bad sign, as SQL over the statistics. The last two are weak: clean texts show their fault too.
+RULES = (
+    ("length", "n_words >= 60", "n_words < 10"),
+    ("plain_words", "10 * n_plain >= 9 * n_words", "10 * n_plain < 6 * n_words"),
+    ("word_length", "word_chars BETWEEN 3 * n_words AND 10 * n_words", "word_chars NOT BETWEEN 2 * n_words AND 15 * n_words"),
+    ("symbols", "50 * n_symbols <= n_words", "5 * n_symbols > n_words"),
+    ("line_copies", "10 * n_dup_lines <= n_lines", "2 * n_dup_lines > n_lines"),
+    ("repeated_windows", "20 * n_repeat_words <= n_words", "10 * n_repeat_words > 3 * n_words"),
+    ("stutter", "50 * n_adjacent <= n_words", "5 * n_adjacent > n_words"),
+    ("capitals", "10 * n_upper <= word_chars", "5 * n_upper > 2 * word_chars"),
+    ("shouting", "50 * n_banged <= n_words", "5 * n_banged > n_words"),
+    ("ending", "n_ends = 1", "n_ends = 0"),
+    ("digits", "100 * n_digits <= word_chars", "20 * n_digits > word_chars"),
+)
 
 
-def _vote(good: Column | None, bad: Column) -> Column:
-    out = F.when(bad, F.lit(0))
-    return (out if good is None else out.when(good, F.lit(1))).cast("int")
+def vote(good: str, bad: str) -> str:
+    """A rule's vote in SQL. A text without words has no good sign."""
+    return f"CASE WHEN {bad} THEN 0 WHEN {good} AND n_words > 0 THEN 1 END"
 
 
 def rules() -> dict[str, Column]:
-    """Votes from the statistics. Most rules only know a bad sign and abstain without it; two know a good one too."""
-    n, some = F.col("n_words"), F.col("n_words") > 0
-    return {
-        "length": _vote(n >= 60, n < 10),
-        "plain_words": _vote((10 * F.col("n_plain") >= 9 * n) & some, 10 * F.col("n_plain") < 6 * n),
-        "word_length": _vote(None, ~F.col("word_chars").between(2 * n, 15 * n)),
-        "symbols": _vote(None, 5 * F.col("n_symbols") > n),
-        "line_copies": _vote(None, 2 * F.col("n_dup_lines") > F.col("n_lines")),
-        "repeated_windows": _vote(None, 10 * F.col("n_repeat_words") > 3 * n),
-        "stutter": _vote(None, 5 * F.col("n_adjacent") > n),
-        "capitals": _vote(None, 5 * F.col("n_upper") > 2 * F.col("word_chars")),
-        "shouting": _vote(None, 5 * F.col("n_banged") > n),
-    }
+    """Votes from the statistics."""
+    return {name: F.expr(vote(good, bad)).cast("int") for name, good, bad in RULES}
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-#: The share of good texts at first; how often a good and a bad vote are thought to be on a good text; rounds; how many of a rule's votes that belief counts for.
-PRIOR, BELIEF, ROUNDS, HOLD = 0.8, (0.95, 0.1), 50, 0.5
+#: The share of good texts at first; how often a rule is thought to vote good on a good and on a bad text; rounds; how many votes on either that belief counts for.
+PRIOR, BELIEF, ROUNDS, HOLD = 0.8, (0.99, 0.8), 100, 5.0
 Rates = list[tuple[float, float]]
 
 
 def expectation_maximisation(counts: list[tuple[tuple[int | None, ...], int]], rounds: int = ROUNDS, n_rules: int = 0) -> tuple[float, Rates]:
-    """Share of good texts, and for each rule the chance that a text is good given its good vote and given its bad vote.
+    """Share of good texts, and for each rule how often it votes good, when it votes, on good texts and on bad texts.
 
-    `counts` are the vote patterns and how many texts have each. An abstention
-    says nothing: rules look for different faults, so most bad texts break one
-    rule only, and silence of the others must not outvote it. The estimates keep
-    to `BELIEF` with a weight of `HOLD` of the rule's votes, which fixes which
-    class is called good and holds rules that are never contradicted in place.
+    `counts` are the vote patterns and how many texts have each. Both rates are
+    estimated freely; `BELIEF` counts for `HOLD` votes only, which fixes which
+    class is called good and keeps rates off zero and one.
     """
     k = len(counts[0][0]) if counts else n_rules
     share, rate = PRIOR, [BELIEF] * k
@@ -146,20 +162,15 @@ def expectation_maximisation(counts: list[tuple[tuple[int | None, ...], int]], r
             for r, v in enumerate(pattern):
                 if v is not None:
                     seen[r][v][0] += n * p
-                    seen[r][v][1] += n
+                    seen[r][v][1] += n * (1 - p)
         share = (mass + 1) / (total + 2)
-        held = lambda s, belief: (s[0] + (HOLD * s[1] + 1) * belief) / (s[1] + HOLD * s[1] + 1)
-        rate = [(held(s[1], BELIEF[0]), held(s[0], BELIEF[1])) for s in seen]
+        rate = [tuple((s[1][c] + HOLD * BELIEF[c]) / (s[0][c] + s[1][c] + HOLD) for c in (0, 1)) for s in seen]
     return share, rate
 
 
-def logit(p: float) -> float:
-    return math.log(p / (1 - p))
-
-
 def weights(share: float, rate: Rates) -> tuple[float, Rates]:
-    """The prior's log odds, and what a good and a bad vote of each rule add to them. A good vote never speaks against a text, a bad one never for it."""
-    return logit(share), [(max(0.0, logit(g) - logit(share)), min(0.0, logit(b) - logit(share))) for g, b in rate]
+    """The prior's log odds, and what a good and a bad vote of each rule add to them."""
+    return math.log(share / (1 - share)), [(math.log(g / b), math.log((1 - g) / (1 - b))) for g, b in rate]
 
 
 def posterior(pattern: tuple[int | None, ...], share: float, rate: Rates) -> float:
@@ -179,18 +190,18 @@ def annotate(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def ballots(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with its statistics and a column `_vote_<rule>` for each rule."""
-    return statistics(docs, text_col).withColumns({f"_vote_{k}": v for k, v in rules().items()})
+    """`docs` with its statistics and a column ``__vote_<rule>`` for each rule."""
+    return statistics(docs, text_col).withColumns({f"__vote_{k}": v for k, v in rules().items()}).drop(*EXTRA)
 
 
 def judge(held: DataFrame, start: float, add: Rates) -> DataFrame:
     names = list(rules())
     z = F.lit(start)
     for k, (good, bad) in zip(names, add, strict=True):
-        z = z + F.when(F.col(f"_vote_{k}") == 1, F.lit(good)).when(F.col(f"_vote_{k}") == 0, F.lit(bad)).otherwise(F.lit(0.0))
-    votes = F.create_map(*[x for k in names for x in (F.lit(k), F.col(f"_vote_{k}"))])
+        z = z + F.when(F.col(f"__vote_{k}") == 1, F.lit(good)).when(F.col(f"__vote_{k}") == 0, F.lit(bad)).otherwise(F.lit(0.0))
+    votes = F.create_map(*[x for k in names for x in (F.lit(k), F.col(f"__vote_{k}"))])
     out = held.withColumns({"base_failed": base_failed(), "votes": votes, "posterior": 1 / (1 + F.exp(-z))})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5)).drop(*[f"_vote_{k}" for k in names])
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5)).drop(*[f"__vote_{k}" for k in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,43 +212,29 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verdicts(voted: DataFrame) -> DataFrame:
     """`posterior` and `kept` from ballots, which are written to the shared folder once."""
     held = scratch.write(voted, "rules")
-    counts = [(tuple(r[:-1]), r[-1]) for r in held.groupBy(*[f"_vote_{k}" for k in rules()]).count().collect()]
+    counts = [(tuple(r[:-1]), r[-1]) for r in held.groupBy(*[f"__vote_{k}" for k in rules()]).count().collect()]
     counts.sort(key=lambda x: tuple(-1 if v is None else v for v in x[0]))
     return judge(held, *weights(*expectation_maximisation(counts, n_rules=len(rules()))))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are kept, with their own columns."""
-    return annotate(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-#: The votes of `rules`, in the same order, as SQL over the statistics: name, good sign (or none), bad sign.
-SQL_RULES = (
-    ("length", "n_words >= 60", "n_words < 10"),
-    ("plain_words", "10 * n_plain >= 9 * n_words AND n_words > 0", "10 * n_plain < 6 * n_words"),
-    ("word_length", None, "word_chars NOT BETWEEN 2 * n_words AND 15 * n_words"),
-    ("symbols", None, "5 * n_symbols > n_words"),
-    ("line_copies", None, "2 * n_dup_lines > n_lines"),
-    ("repeated_windows", None, "10 * n_repeat_words > 3 * n_words"),
-    ("stutter", None, "5 * n_adjacent > n_words"),
-    ("capitals", None, "5 * n_upper > 2 * word_chars"),
-    ("shouting", None, "5 * n_banged > n_words"),
-)
+    """Documents that are kept, with their own columns as they are, whatever their names."""
+    whole = docs.select(F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__whole"))
+    return annotate(whole).where("kept").select("__whole.*")
 
 
 def oracle() -> str:
     """The same in DuckDB: windows are unnested and counted, and the rounds of the estimation are a recursive table of one row each."""
-    names = [n for n, _, _ in SQL_RULES]
-    votes = ", ".join(f"CASE WHEN {bad} THEN 0{f' WHEN {good} THEN 1' if good else ''} END AS {n}" for n, good, bad in SQL_RULES)
-    lg = lambda x: f"ln({x} / (1 - {x}))"
-    z = lg("share") + "".join(f" + CASE {n} WHEN 1 THEN greatest(0, {lg(f'g_{n}')} - {lg('share')}) WHEN 0 THEN least(0, {lg(f'b_{n}')} - {lg('share')}) ELSE 0 END" for n in names)
+    names = [n for n, _, _ in RULES]
+    votes = ", ".join(f"{vote(good, bad)} AS {n}" for n, good, bad in RULES)
+    z = "ln(share / (1 - share))" + "".join(f" + CASE {n} WHEN 1 THEN ln(g_{n} / b_{n}) WHEN 0 THEN ln((1 - g_{n}) / (1 - b_{n})) ELSE 0 END" for n in names)
     post = f"(1 / (1 + exp(-({z}))))"
 
-    def held(n: str, v: int, belief: float) -> str:
-        mass, seen = (f"coalesce(sum({x}) FILTER ({n} = {v}), 0)" for x in ("c * p", "c"))
-        return f"({mass} + ({HOLD} * {seen} + 1) * {belief}) / ({seen} + {HOLD} * {seen} + 1)"
+    def held(n: str, p: str, belief: float) -> str:
+        good, either = (f"coalesce(sum(c * {p}) FILTER ({n} {x}), 0)" for x in ("= 1", "IS NOT NULL"))
+        return f"({good} + {HOLD} * {belief}) / ({either} + {HOLD})"
 
-    rates = ", ".join(f"{held(n, 1, BELIEF[0])} AS g_{n}, {held(n, 0, BELIEF[1])} AS b_{n}" for n in names)
+    rates = ", ".join(f"{held(n, 'p', BELIEF[0])} AS g_{n}, {held(n, '(1 - p)', BELIEF[1])} AS b_{n}" for n in names)
     first = ", ".join(f"CAST({BELIEF[0]} AS DOUBLE) AS g_{n}, CAST({BELIEF[1]} AS DOUBLE) AS b_{n}" for n in names)
     state = ", ".join(f"g_{n}, b_{n}" for n in names)
     white = r"[^\x20\x09-\x0D]"
@@ -250,7 +247,7 @@ lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_
 stats AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
   len(l) AS n_lines, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_adjacent, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper,
-  length(t) - length(replace(t, '!!', '!')) AS n_banged, len(list_filter(w, lambda x: regexp_full_match(x, '\p{{L}}[\p{{L}}\p{{M}}''’-]*[.,;:!?]?'))) AS n_plain
+  length(t) - length(replace(t, '!!', '!')) AS n_banged, length(regexp_replace(t, '[^0-9]', '', 'g')) AS n_digits, CAST(regexp_matches(t, '[.!?…:;]["''”’»)\]]*[ \t\n\v\f\r]*\z') AS INT) AS n_ends, len(list_filter(w, lambda x: regexp_full_match(x, '\p{{L}}[\p{{L}}\p{{M}}''’-]*[.,;:!?]?'))) AS n_plain
   FROM d JOIN lines USING (doc_id) LEFT JOIN covered c USING (doc_id)),
 ballots AS (SELECT *, {votes} FROM stats),
 counts AS (SELECT {", ".join(names)}, count(*) AS c FROM ballots GROUP BY ALL),
