@@ -9,15 +9,16 @@ Reading: files are cut into splits that are scanned apart. A scan emits every
 candidate (the version line, a header with a length) with the offset at which
 its successor would begin. Inside a split the candidates' chains are followed at
 once, which leaves a pointer from each possible entry to its exit into a later
-split; pointer jumping from the start of each file over these pointers, doubling
-their reach each round, retains the entries that are truly reached. A version
+split; pointer jumping from the start of each file over these pointers, whatever
+the file's size, doubling their reach each round, retains the entries that are truly reached. A version
 line inside a payload is never the successor of a reached record, so it is
 rejected. The splits are then read again from their entries.
 
 Defined results: a null html is an empty payload; a payload under `LEAST` bytes
 is always a response; rows that share the smallest page_id of equal payloads are
 all responses; a null page_id revisits like any other and is named by nothing;
-line breaks in a url become spaces; an empty table gives an empty table. The
+line breaks in a url become spaces; a payload of any length is one record, read
+whole by the task of the split it begins in; an empty table gives an empty table. The
 caller's other columns are not archived.
 """
 
@@ -37,8 +38,12 @@ from loomgraph import scratch
 from loomgraph.ship import ship
 
 LEAST = 100
-SPLIT = 32 << 20
-HEADER = 1 << 16
+#: Bytes of a split; small, so that chains of many splits are the usual case and a task's memory is bounded by records, not files.
+SPLIT = 256 << 10
+#: Bytes read beyond a split at once, and those in which a header is looked for at first.
+BEYOND, HEADER = 1 << 14, 1 << 16
+#: Bytes of archives for each task beyond the first `TASKS`.
+TASK, TASKS = 256 << 20, 4096
 EPOCH = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Equal payloads told to every task at most; beyond that the join is shuffled.
@@ -56,10 +61,10 @@ def roles(pages: DataFrame) -> DataFrame:
     """`pages` (page_id, url, html) with ``payload_digest``, ``payload_bytes`` and, for revisits, ``refers_to``."""
     body = F.coalesce("html", F.lit(""))
     own = pages.withColumns({"payload_digest": F.sha2(body, 256), "payload_bytes": F.octet_length(body).cast("long")})
-    first = own.where(F.col("payload_bytes") >= LEAST).groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1 and _first is not null").drop("_n")
+    first = own.where(F.col("payload_bytes") >= LEAST).groupBy("payload_digest").agg(F.min("page_id").alias("__first"), F.count("*").alias("__n")).where("__n > 1 and __first is not null").drop("__n")
     first = scratch.write(first, "firsts")
     joined = own.join(F.broadcast(first) if first.count() <= FEW else first, "payload_digest", "left")
-    return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))).drop("_first")
+    return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("__first")), F.col("__first"))).drop("__first")
 
 
 def write(pages: DataFrame, date: str = EPOCH) -> str:
@@ -131,7 +136,7 @@ def _header(f: _File, data: bytes, base: int, at: int) -> tuple[int, int] | None
 
 def scan_split(f: _File, start: int, end: int) -> list[tuple[int, int]]:
     """Every candidate that begins in the split, with the offset of its successor."""
-    data = f.read(start, end + HEADER)
+    data = f.read(start, end + BEYOND)
     out = []
     for m in _START.finditer(data):
         at = start + m.start()
@@ -156,41 +161,48 @@ def splits(spark: SparkSession, folder: str, size: int) -> DataFrame:
     return cut.select("path", "k", (F.col("k") * size).alias("start"), F.least((F.col("k") + 1) * size, F.col("length")).alias("stop"), "length")
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, _File]]:
+    """Rows with their files, each opened once while it is looked at."""
+    path, file = None, None
     for b in batches:
-        yield from b.to_pylist()
+        for r in sorted(b.to_pylist(), key=lambda r: (r["path"], r["k"])):
+            if r["path"] != path:
+                path, file = r["path"], _File(r["path"])
+            yield r, file
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for r in _rows(batches):
-        edges = scan_split(_File(r["path"]), r["start"], r["stop"])
+    for r, file in _rows(batches):
+        edges = scan_split(file, r["start"], r["stop"])
         n = len(edges)
         at, nxt = (np.array([e[i] for e in edges], np.int64) for i in (0, 1))
         yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * n, pa.string()), pa.array(np.full(n, r["k"])), pa.array(at), pa.array(nxt), pa.array(exits(edges, r["stop"]), pa.int64())], names=["path", "k", "at", "successor", "exit"])
 
 
-def reachable(candidates: DataFrame, several: bool) -> DataFrame:
-    """Entries ``(path, k, at)`` that the chain from each file's start reaches, by pointer jumping over split exits."""
+def reachable(candidates: DataFrame) -> tuple[DataFrame, int]:
+    """Entries ``(path, k, at)`` that the chain from each file's start reaches, by pointer jumping over split exits; and the rounds it took.
+
+    After r rounds a pointer spans 2^r splits and all entries within 2^r splits of
+    the start are reached; it ends with the round that reaches nothing new.
+    """
     start = candidates.where("at = 0").select("path", "k", "at", F.col("exit").alias("next"))
-    if not several:
-        return start.select("path", "k", "at")
     ends = candidates.select("path", F.col("exit").alias("at")).where("at is not null").distinct()
     entry = candidates.select("path", "k", "at", F.col("exit").alias("next"))
     jump = scratch.write(entry.join(ends, ["path", "at"], "left_semi").unionByName(start).distinct(), "jump")
     reach = scratch.write(start.select("path", "at"), "reach")
-    ids, n = jump.select("path", "k", "at"), -1
+    ids, n, rounds = jump.select("path", "k", "at"), -1, 0
     while n != (now := reach.count()):
-        n = now
+        n, rounds = now, rounds + 1
         step = jump.select("path", "at", "next")
         reach = scratch.write(reach.unionByName(reach.join(step, ["path", "at"]).select("path", F.col("next").alias("at"))).where("at is not null").distinct(), "reach")
         further = step.select("path", F.col("at").alias("next"), F.col("next").alias("after"))
         jump = scratch.write(step.join(further, ["path", "next"], "left").select("path", "at", F.col("after").alias("next")), "jump")
-    return ids.join(reach, ["path", "at"]).select("path", "k", "at")
+    return ids.join(reach, ["path", "at"]).select("path", "k", "at"), rounds
 
 
 def walk(f: _File, at: int, stop: int) -> Iterator[tuple[int, bytes, bytes]]:
     """Offset, header and block of each record of the chain from `at` that begins before `stop`."""
-    base, data = at, f.read(at, stop + HEADER)
+    base, data = at, f.read(at, stop + BEYOND)
     while at < stop and (got := _header(f, data, base, at)):
         begin, end = got
         whole = data if begin - base <= len(data) else None
@@ -201,10 +213,10 @@ def walk(f: _File, at: int, stop: int) -> Iterator[tuple[int, bytes, bytes]]:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for r in _rows(batches):
+    for r, file in _rows(batches):
         rows: list[tuple] = []
         size = 0
-        for at, head, block in walk(_File(r["path"]), r["at"], r["stop"]):
+        for at, head, block in walk(file, r["at"], r["stop"]):
             pairs = [x.partition(b":") for x in head.split(b"\r\n")[1:] if b":" in x]
             fields = [(a.decode("utf-8", "replace"), c.strip().decode("utf-8", "replace")) for a, _, c in pairs]
             http = any(a.lower() == "content-type" and c.lower().startswith("application/http") for a, c in fields)
@@ -229,11 +241,10 @@ def read(spark: SparkSession, folder: str, split: int = SPLIT) -> DataFrame:
     """Records of all archives of `folder`: ``path``, ``at`` (offset), ``headers`` (map) and ``payload``."""
     ship(spark)
     cut = splits(spark, folder, split)
-    parts = max(1, cut.count())
-    many = min(parts, 4096)
-    several = cut.agg(F.max("k")).first()[0] or 0
+    parts, size = cut.agg(F.count("*"), F.sum(F.col("stop") - F.col("start"))).first()
+    many = max(1, min(parts, max(TASKS, (size or 0) // TASK)))
     found = cut.repartition(many, "path", "k").mapInArrow(_scan, "path string, k long, at long, successor long, exit long")
-    entries = reachable(scratch.write(found, "candidates"), several > 0)
+    entries, _ = reachable(scratch.write(found, "candidates"))
     todo = entries.join(cut.select("path", "k", "stop"), ["path", "k"])
     return todo.repartition(many, "path", "k").mapInArrow(_parse, "path string, at long, headers map<string,string>, payload binary")
 
