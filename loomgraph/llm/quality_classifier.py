@@ -9,10 +9,12 @@ text is thought to stand beside `PULL` bytes with the usual difference of good
 texts. The curve gives either class the same weight, whatever their shares.
 
 Defined results: a null text counts as empty; the empty text has the usual
-difference and gets the curve's value there; repeated rows get equal scores; an empty
+difference and gets the curve's value there; a text of any length is compressed
+whole; a score of exactly one half counts as good; repeated rows get equal scores,
+and of texts that share a labelled id the smallest is learnt from; an empty
 table gives an empty table. Other columns of `docs` are passed through by
-`score`, whatever their names (a clash with ``score`` or ``size_difference``
-is replaced).
+`score`, except ``score`` and ``size_difference``, which it replaces; `stage`
+leaves every column of its documents as it is.
 """
 
 from __future__ import annotations
@@ -131,7 +133,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: Column
         some = own.where(F.col("_y") == k).orderBy(key, id_col).limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
     texts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).where(F.octet_length("_t") <= max_bytes)
-    got = texts.join(F.broadcast(picked), id_col).select(id_col, "_t", "_y").dropDuplicates([id_col]).collect()
+    got = texts.join(F.broadcast(picked), id_col).groupBy(id_col).agg(F.min("_t"), F.max("_y")).collect()
     return sorted(((r[0], r[1], r[2]) for r in got), key=lambda r: (hash_order(r[0]), r[0]))
 
 
@@ -160,7 +162,7 @@ def score(docs: DataFrame, model: CompressionClassifier, text_col: str = "text")
     def difference(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         differ = model.differ()
         for part in texts:
-            yield pd.Series([0.0 if t is None else differ(t.encode("utf-8", "replace")) for t in part], dtype="float64")
+            yield pd.Series([differ((t or "").encode("utf-8", "replace")) for t in part], dtype="float64")
 
     z = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.lit(model.slope) * F.col("size_difference") + F.lit(model.offset)))
     return docs.withColumn("size_difference", difference(F.col(text_col))).withColumn("score", 1 / (1 + F.exp(-z)))
@@ -177,6 +179,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches one half, with their own columns."""
+    """Documents whose score reaches one half, with their own columns as they are, whatever their names."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), train_rows())
-    return score(docs, model).where("score >= 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__whole"))
+    return score(whole, model).where("score >= 0.5").select("__whole.*")
