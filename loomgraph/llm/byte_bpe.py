@@ -73,9 +73,11 @@ def _slot(h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
 
 
 class PerfectHash:
-    """A minimal perfect hash: every key has its own of `n` slots, found from its hash and its bucket's displacement."""
+    """A minimal perfect hash: every key has its own of `n` slots, found from its hash and its bucket's displacement. Keys must differ."""
 
     def __init__(self, keys: list[bytes]):
+        if len(set(keys)) < len(keys):
+            raise ValueError("keys of a perfect hash must differ")
         self.n, self.m = len(keys), max(1, len(keys) // 4)
         h = np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64)
         bucket = (h >> np.uint64(32)).astype(np.int64) % self.m
@@ -144,7 +146,8 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         self.entries = read_ranks(path)
         self.rank = {w: r for r, w in enumerate(self.entries) if w}
-        self.table = PerfectHash(self.entries)
+        # a rank that is not used gets a key that no text has
+        self.table = PerfectHash([w or b"\xff\xff" + str(r).encode() for r, w in enumerate(self.entries)])
         # the pattern's white space is Unicode's White_Space, spelled out here
         spelled = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.pieces = regex.compile(spelled).findall
