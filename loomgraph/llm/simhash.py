@@ -15,9 +15,12 @@ adders, and a word is abandoned once all its 64 nodes exceed the radius. A tile
 gives a spanning forest of its links, not all pairs; components are unchanged.
 
 Defined results: a null text counts as empty; no words give fingerprint zero,
-which links like any other; repeated rows share their fingerprint; a null id is
-kept as a row but names a component only if nothing else is in it; an empty
-table gives an empty table.
+which links like any other; a text of any length is read whole; repeated rows share
+their fingerprint; a null id is kept as a row but names a component only if nothing
+else is in it; ties of a bit (set in exactly half) leave it unset; an empty table
+gives an empty table. `stage` keeps one row of each component: the smallest id (null
+last), of one id's texts that of the smallest hash, and one of rows equal in both;
+every column stays as it is, whatever its name.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -219,15 +222,25 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> D
     return dealt.repartition("part").sortWithinPartitions("part").select("part", "fp").mapInArrow(_compare, "u long, v long")
 
 
+def named_nodes(own: DataFrame, order: Column) -> DataFrame:
+    """``(fp, least, component)`` of each distinct ``fp`` of `own`, a written table: the least `order` of its rows, and the smallest fingerprint it reaches."""
+    nodes = scratch.write(own.groupBy("fp").agg(F.min(order).alias("least")), "nodes")
+    roots = connected_components(links(nodes, nodes.count()))
+    named = nodes.join(roots.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return scratch.write(named, "named")
+
+
 def components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of `docs`: the id, ``fp`` and ``component_id``, the smallest id reachable over links."""
     own = scratch.write(fingerprints(docs.select(id_col, text_col), text_col).select(id_col, "fp"), "simhash")
-    nodes = scratch.write(own.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    n = nodes.count()
-    roots = connected_components(links(nodes, n))
-    named = nodes.join(roots.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = scratch.write(named, "named")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return joined(own, id_col)
+
+
+def joined(own: DataFrame, id_col: str) -> DataFrame:
+    """`own`, a written table with ``fp``, and ``component_id``."""
+    named = named_nodes(own, F.col(id_col))
+    # written apart, so that the join's shuffles serve the join alone and a large component can be split
+    least = scratch.write(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     return own.join(named.join(least, "component").select("fp", "component_id"), "fp")
 
 
@@ -237,7 +250,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component (one row, should that id be repeated)."""
-    firsts = components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each component, with its own columns as they are, whatever their names."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").alias("__id"), F.xxhash64(text).alias("__key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__whole"))
+    narrow = docs.select(F.col("doc_id").alias("__id"), F.xxhash64(text).alias("__key"), F.col("text").alias("__text"))
+    own = scratch.write(fingerprints(narrow, "__text").select("__id", "__key", "fp"), "simhash")
+    order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("i"), F.col("__key").alias("k"))
+    named = named_nodes(own, order)
+    first = named.groupBy("component").agg(F.min("least").alias("x")).select(F.col("x.i").alias("i"), F.col("x.k").alias("k"))
+    kept = rows.join(first, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__key") == F.col("k")), "left_semi")
+    return kept.dropDuplicates(["__id", "__key"]).select("__whole.*")
