@@ -51,7 +51,7 @@ WIDTH, SIDE = 16, 2
 PLACES = [*range(-SIDE, 0), *range(1, SIDE + 1)]
 ROUNDS = 2
 RATE, BATCH, DECAY = 4.0, 8192, 0.5
-TOKENS = 1 << 16
+TOKENS = 1 << 13
 BLOCK = 16384
 #: Spelt words that a task remembers, and their longest.
 HELD, SHORT = 1 << 18, 64
