@@ -42,8 +42,8 @@ LEAST = 100
 SPLIT = 256 << 10
 #: Bytes read beyond a split at once, and those in which a header is looked for at first.
 BEYOND, HEADER = 1 << 14, 1 << 16
-#: Bytes of archives for each task beyond the first `TASKS`.
-TASK, TASKS = 256 << 20, 4096
+#: Bytes of archives for each of the first `TASKS` tasks, and for each beyond them.
+TASK, TASKS, LARGE = 16 << 20, 4096, 256 << 20
 EPOCH = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Equal payloads told to every task at most; beyond that the join is shuffled.
@@ -242,7 +242,8 @@ def read(spark: SparkSession, folder: str, split: int = SPLIT) -> DataFrame:
     ship(spark)
     cut = splits(spark, folder, split)
     parts, size = cut.agg(F.count("*"), F.sum(F.col("stop") - F.col("start"))).first()
-    many = max(1, min(parts, max(TASKS, (size or 0) // TASK)))
+    size = size or 0
+    many = max(1, min(parts, max(spark.sparkContext.defaultParallelism, min(TASKS, size // TASK), size // LARGE)))
     found = cut.repartition(many, "path", "k").mapInArrow(_scan, "path string, k long, at long, successor long, exit long")
     entries, _ = reachable(scratch.write(found, "candidates"))
     todo = entries.join(cut.select("path", "k", "stop"), ["path", "k"])
