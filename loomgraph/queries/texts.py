@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from loomgraph import scratch
@@ -13,17 +15,37 @@ from loomgraph.operators import resolution as N
 from loomgraph.sources import warehouse as W
 
 INGEST = "Alice works with Bob on the Project. Charlie manages the Project and coordinates with Alice."
-TEMPLATE_TEXTS = [
-    (1, "Alice Johnson works for TechCorp Inc, which is located in San Francisco. John Smith founded TechCorp Inc.", ["Alice Johnson", "TechCorp Inc", "San Francisco", "John Smith"]),
-    (2, "Dr. Sarah Chen works for Microsoft Corporation in Seattle.", ["Dr. Sarah Chen", "Microsoft Corporation", "Seattle"]),
-    (3, "Apple Inc was founded by Steve Jobs and Steve Wozniak.", ["Apple Inc", "Steve Jobs", "Steve Wozniak"]),
-    (4, "The headquarters of Google is located in Mountain View, California.", ["Google", "Mountain View", "California"]),
-    (5, "", []),
-]
 WATER = "Water flows into the ocean. \nThe sun heats the water. \nEvaporation creates water vapor."
 COREF = [(1, "John Smith works at Apple Inc. He is the CEO of the company."), (2, "Microsoft Corporation was founded in 1975. It became a major tech company."), (3, "Alice and Bob started a company. They hired many employees.")]
 PEOPLE = [("e1", "John Smith", "person"), ("e2", "Jonathan Smith", "person"), ("e3", "Microsoft Corporation", "organization"), ("e4", "Microsoft Corp", "organization"), ("e5", "Bob Stone", "person")]
-ABEL = [(1, "Abel is an urban planner. I love woodworking and the acoustic guitar, in my house by the community garden."), (2, "Nothing here.")]
+#: A report on each customer, written from the tables; the same in Spark and DuckDB.
+REPORT = """SELECT c_custkey AS doc_id, c_custkey, c_mktsegment, person, org, place,
+  concat(person, ' works for ', org, '. ', org, ' is located in ', place, '.', CASE WHEN c_mktsegment = 'BUILDING' THEN concat(' As an urban planner, ', person, ' likes woodworking in the house.') ELSE '' END,
+    ' CEO ', org, ' said so. The company headquarters at ', place, ' were founded.') AS text
+  FROM (SELECT c_custkey, c_mktsegment, concat(upper(substr(c_mktsegment, 1, 1)), lower(substr(c_mktsegment, 2)), ' ', CAST(c_custkey AS {string})) AS person,
+    concat(upper(substr(n_name, 1, 1)), lower(substr(n_name, 2, 4)), ' Corp') AS org, concat(upper(substr(r_name, 1, 1)), lower(substr(r_name, 2, 3))) AS place
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+REPORTS = f"WITH report AS ({REPORT.format(string='VARCHAR')})"
+
+
+def _reports(s, d):
+    for t in ("customer", "nation", "region"):
+        W.table(s, d, t).createOrReplaceTempView(f"loomgraph_{t}")
+    sql = REPORT.format(string="STRING")
+    for t in ("customer", "nation", "region"):
+        sql = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 loomgraph_{t}", sql)
+    return s.sql(sql)
+
+
+def _report_templates(s, d):
+    r = _reports(s, d)
+    ends = r.select(F.col("doc_id").alias("id"), F.explode(F.array("person", "org", "place")).alias("text"))
+    return R.template_relations(r, ends).groupBy("id", "source", "target", "relationship_type").agg(F.round(F.max("confidence"), 6).alias("confidence"))
+
+
+def _report_persons(s, d):
+    r = _reports(s, d)
+    return K.domain_relations(K.concepts(r).unionByName(r.select(F.col("doc_id").alias("id"), F.col("person").alias("name"), F.lit("person").alias("entity_type"))))
 
 
 def _docs(s, d):
@@ -38,16 +60,6 @@ def _text(s, t):
     return _one(s, [(1, t)], "doc_id int, text string")
 
 
-def _mentions(s):
-    rows = [(i, e, "x") for i, _, es in TEMPLATE_TEXTS for e in es]
-    return _one(s, rows, "id int, text string, entity_type string")
-
-
-def _templates(s):
-    docs = _one(s, [(i, t) for i, t, _ in TEMPLATE_TEXTS], "doc_id int, text string")
-    return R.template_relations(docs, _mentions(s)).groupBy("id", "source", "target", "relationship_type").agg(F.round(F.max("confidence"), 6).alias("confidence"))
-
-
 def _ingest(s, d):
     docs = _text(s, INGEST)
     return R.sentence_relations(docs, E.extract_entities(docs)).select("source", "target", "relationship_type", F.round("confidence", 6).alias("confidence"))
@@ -85,7 +97,7 @@ QUERIES = {
     "e1_entities": lambda s, d: E.extract_entities(_docs(s, d)),
     "e2_pattern_entities": lambda s, d: E.by_pattern(_docs(s, d)).groupBy("id", "text", "entity_type").agg(F.count("*").alias("n"), F.round(F.max("confidence"), 6).alias("confidence")),
     "e3_indicator_entities": lambda s, d: E.by_indicator(_docs(s, d)),
-    "e4_merged_candidates": lambda s, d: E.merge_candidates(E.by_pattern(_docs(s, d))).drop("methods"),
+    "e4_merged_candidates": lambda s, d: E.merge_candidates(E.by_pattern(_docs(s, d))).drop("methods").withColumn("confidence", F.round("confidence", 6)),
     "e6_schema_entities": lambda s, d: E.by_schema(_docs(s, d)),
     "e7_refined_entities": lambda s, d: E.by_refined_pattern(_docs(s, d)),
     "e8_contextual_entities": lambda s, d: E.by_context(_docs(s, d)),
@@ -95,8 +107,11 @@ QUERIES = {
     "a29_extraction_statistics": lambda s, d: E.statistics(E.by_pattern(_docs(s, d))).select("entity_type", "n"),
     "s11_text_ingest": _ingest,
     "r1_sentence_relations": lambda s, d: R.sentence_relations(_docs(s, d), E.extract_entities(_docs(s, d))).groupBy("relationship_type").agg(F.count("*").alias("n")),
-    "r2_template_relations": lambda s, d: _templates(s),
-    "r5_ranked_relations": lambda s, d: R.ranked(R.deduplicate(_templates(s)), ["works_for", "located_in", "related_to"]).select("id", "source", "target", "relationship_type", F.round("confidence", 6).alias("confidence")),
+    "r2_template_relations": _report_templates,
+    "r5_ranked_relations": lambda s, d: R.ranked(R.deduplicate(_report_templates(s, d)), ["works_for", "related_to"]).select("id", "source", "target", "relationship_type", F.round("confidence", 6).alias("confidence")),
+    "e6_schema_texts": lambda s, d: E.by_schema(_docs(s, d)).groupBy("id", "text", "entity_type").agg(F.count("*").alias("n")),
+    "e8_contextual_reports": lambda s, d: E.by_context(_reports(s, d)).groupBy("id", "text", "entity_type").agg(F.count("*").alias("n")),
+    "e3_indicator_reports": lambda s, d: E.by_indicator(_reports(s, d)).groupBy("entity_type", "text").agg(F.count("*").alias("n")),
     "r6_phrase_relations": lambda s, d: R.phrase_relations(_text(s, WATER)),
     "r6_quick_relations": lambda s, d: R.quick_relations(_docs(s, d), E.basic_entities(_docs(s, d))).groupBy("relationship_type").agg(F.count("*").alias("n")),
     "r7_proximity": lambda s, d: R.proximity_relations(_starts(s, d)).groupBy("id").agg(F.count("*").alias("n")),
@@ -112,8 +127,9 @@ QUERIES = {
     "n7_similar_existing": lambda s, d: N.similar_existing(_one(s, [("new1", "Supplier#00000001"), ("c7", "whatever"), ("new2", "zzz")], "id string, name string"), W.entities(s, d)),
     "j20_near_embeddings": lambda s, d: K.near_vectors(W.table(s, d, "embeddings"), 0.3).select("a", "b", F.round("cosine", 5).alias("cosine")),
     "e14_density_clusters": lambda s, d: K.density_clusters(W.table(s, d, "embeddings"), 0.65),
-    "x30_concepts": lambda s, d: K.concepts(_one(s, ABEL, "doc_id int, text string")),
-    "e15_domain_relations": lambda s, d: K.domain_relations(K.concepts(_one(s, ABEL, "doc_id int, text string")).unionByName(_one(s, [(1, "Abel", "person")], "id int, name string, entity_type string"))),
+    "x30_concepts": lambda s, d: K.concepts(_docs(s, d)),
+    "x30_report_concepts": lambda s, d: K.concepts(_reports(s, d)),
+    "e15_domain_relations": _report_persons,
     "e16_verb_context": lambda s, d: _one(s, [("I love tea",), ("my house",), ("a job to do",), ("nothing",)], "t string").select("t", K.verb_context(F.col("t")).alias("relation")),
     "a30_importance": lambda s, d: _one(s, [("Music", "hobby", 0.9, "music, Music and more music"), ("Urban Planning", "profession", 0.5, "none"), ("x", "other", 0.5, "x y x")], "name string, kind string, c double, t string").select("name", F.round(K.importance(F.col("c"), F.col("name"), F.col("kind"), F.col("t")), 6).alias("importance")),
     "u2_alias_overlap": lambda s, d: N.pairs(_people(s)).where(F.arrays_overlap("alias_a", "alias_b")).select("id_a", "id_b"),
@@ -127,16 +143,29 @@ def _values(rows: list[tuple], *names: str) -> str:
 
 _RELATION = ("id", "source", "target", "relationship_type", "confidence")
 _PRONOUNS = "SELECT * FROM (VALUES " + ", ".join(f"('{p}')" for p, *_ in C.PRONOUNS) + ") v(pronoun)"
+RELATED = """SELECT doc_id AS id, person AS source, org AS target, 'works_for' AS relationship_type, CAST(0.8 AS DOUBLE) AS confidence FROM report
+  UNION ALL SELECT doc_id, org, place, 'located_in', round(CAST(0.8 AS DOUBLE){}, 6) FROM report"""
+_KEYWORDS = "SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{name}', '{kind}')" for kind, pairs in K.CONCEPTS for w, name in pairs) + ") v(word, name, entity_type)"
+
+
+def _found(table: str, rules, flags: str, group: int) -> str:
+    """Matches of typed patterns by DuckDB's matcher."""
+    quote = lambda p: p.replace("'", "''")
+    return " UNION ALL ".join(f"SELECT id, unnest(regexp_extract_all(t, '{flags}{quote(p)}', {group})) AS text, '{kind}' AS entity_type FROM {table}" for kind, ps in rules for p in ps)
+
+
+#: DuckDB's word boundary knows ASCII only: letters and digits beyond it become "_", which no pattern here matches and which is part of a word.
+_WORDED = r"worded AS (SELECT doc_id AS id, regexp_replace(text, '[^\x00-\x7F\pP\pS\pZ\pC\pM]', '_', 'g') AS t FROM documents WHERE text IS NOT NULL)"
+_TYPED = f"""{_WORDED}, m AS ({_found('worded', E.TYPED, '(?i)', 0)}),
+  typed AS (SELECT *, least(CAST(1 AS DOUBLE), CAST(0.7 AS DOUBLE) + CASE WHEN regexp_matches(trim(text), '\\s') THEN 0.1 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[A-Z]') AND NOT regexp_matches(text, '[A-Za-z][A-Z]|(?:^|[^A-Za-z])[a-z]') THEN 0.05 ELSE 0 END) AS confidence
+    FROM m WHERE length(text) > 1 AND NOT list_contains(string_split('{' '.join(E.stop_words())}', ' '), lower(text)))"""
 ORACLES = {
     "s11_text_ingest": _values(
         [("Alice", "Bob", "related_to", 0.3), ("Alice", "Project", "associated_with", 0.7), ("Bob", "Project", "related_to", 0.3), ("Charlie", "Project", "manages", 0.7), ("Charlie", "Alice", "manages", 0.7), ("Project", "Alice", "related_to", 0.3)], *_RELATION[1:]
     ),
-    "r2_template_relations": _values(
-        [(1, "Alice Johnson", "TechCorp Inc", "works_for", 0.8), (1, "TechCorp Inc", "John Smith", "founded_by", 0.75), (2, "Dr. Sarah Chen", "Microsoft Corporation", "works_for", 0.8), (2, "Microsoft Corporation", "Seattle", "located_in", 0.65), (3, "Apple Inc", "Steve Jobs", "founded_by", 0.8), (4, "Google", "Mountain View", "located_in", 0.8)], *_RELATION
-    ),
-    "r5_ranked_relations": _values(
-        [(1, "Alice Johnson", "TechCorp Inc", "works_for", 0.8), (1, "TechCorp Inc", "John Smith", "founded_by", 0.525), (2, "Dr. Sarah Chen", "Microsoft Corporation", "works_for", 0.8), (2, "Microsoft Corporation", "Seattle", "located_in", 0.65), (3, "Apple Inc", "Steve Jobs", "founded_by", 0.56), (4, "Google", "Mountain View", "located_in", 0.8)], *_RELATION
-    ),
+    "r2_template_relations": f"{REPORTS} {RELATED.format('')}",
+    "r5_ranked_relations": f"{REPORTS} {RELATED.format(' * 0.7')}",
     "r6_phrase_relations": _values([(1, "water", "flows_into", "ocean"), (1, "evaporation", "creates", "water vapor")], "id", "source", "relationship_type", "target"),
     "r7_proximity": """WITH m AS (SELECT l_suppkey AS id, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS mention, l_orderkey % 100000 * 3 AS start FROM lineitem)
       SELECT a.id, count(*) AS n FROM m a JOIN m b ON a.id = b.id AND abs(a.start - b.start) < 100 AND (a.start < b.start OR (a.start = b.start AND a.mention < b.mention)) GROUP BY a.id""",
@@ -153,8 +182,17 @@ ORACLES = {
     "j20_near_embeddings": "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.3",
     "e14_density_clusters": """WITH RECURSIVE e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.35),
       r(node, root) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.node) SELECT node, min(root) AS component FROM r GROUP BY node""",
-    "x30_concepts": _values([(1, "Urban Planning", "profession"), (1, "Woodworking", "hobby"), (1, "Music", "hobby"), (1, "Gardening", "hobby"), (1, "Residence", "location"), (1, "Community Space", "location")], "id", "name", "entity_type"),
-    "e15_domain_relations": _values([(1, "Abel", "Urban Planning", "works_in", 0.9), (1, "Abel", "Woodworking", "practices", 0.9), (1, "Abel", "Music", "practices", 0.9), (1, "Abel", "Gardening", "practices", 0.9), (1, "Abel", "Residence", "lives_in", 0.9)], *_RELATION),
+    "x30_concepts": f"WITH k AS ({_KEYWORDS}) SELECT DISTINCT doc_id AS id, name, entity_type FROM documents, k WHERE contains(lower(text), word)",
+    "x30_report_concepts": f"{REPORTS}, k AS ({_KEYWORDS}) SELECT DISTINCT doc_id AS id, name, entity_type FROM report, k WHERE contains(lower(text), word)",
+    "e15_domain_relations": f"""{REPORTS} SELECT doc_id AS id, person AS source, target, relationship_type, CAST(0.9 AS DOUBLE) AS confidence
+      FROM report, (VALUES ('Urban Planning', 'works_in'), ('Woodworking', 'practices'), ('Residence', 'lives_in')) v(target, relationship_type) WHERE c_mktsegment = 'BUILDING' OR (target = 'Residence' AND contains(lower(text), 'house'))""",
+    "e2_pattern_entities": f"WITH {_TYPED} SELECT id, text, entity_type, count(*) AS n, round(max(confidence), 6) AS confidence FROM typed GROUP BY ALL",
+    "e4_merged_candidates": f"""WITH {_TYPED} SELECT id, arg_max(text, {{'c': confidence, 't': text}}) AS text, entity_type, round(least(1.0, max(confidence) + 0.1 * (count(*) - 1)), 6) AS confidence, count(*) AS mentions
+      FROM typed GROUP BY id, lower(text), entity_type""",
+    "a29_extraction_statistics": f"WITH {_TYPED} SELECT entity_type, count(*) AS n FROM typed GROUP BY entity_type",
+    "e6_schema_texts": f"WITH {_WORDED}, m AS ({_found('worded', E.GUIDED, '', 0)}) SELECT id, text, entity_type, count(*) AS n FROM m GROUP BY ALL",
+    "e8_contextual_reports": f"{REPORTS}, worded AS (SELECT doc_id AS id, text AS t FROM report), m AS ({_found('worded', E.CONTEXTUAL, '', 1)}) SELECT id, text, entity_type, count(*) AS n FROM m GROUP BY ALL",
+    "e17_basic_entities": f"WITH {_WORDED} SELECT id, len(f) AS n FROM (SELECT id, regexp_extract_all(t, '\\b[A-Z][a-z]+\\b') AS f FROM worded) WHERE len(f) > 0",
     "e16_verb_context": _values([("I love tea", "practices"), ("my house", "lives_in"), ("a job to do", "works_in"), ("nothing", None)], "t", "relation"),
     "a30_importance": _values([("Music", 1.0), ("Urban Planning", 1.0), ("x", 0.85)], "name", "importance"),
     "u2_alias_overlap": _values([("e1", "e2"), ("e3", "e4")], "id_a", "id_b"),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
-from loomgraph.operators import consistency, extraction, quality, relations, schema
+from loomgraph.operators import consistency, extraction, knowledge, quality, relations, schema
 from loomgraph.plans import api
 from loomgraph.sources import banks
 
@@ -118,6 +118,37 @@ def test_fixed_values():
     assert relations.template_confidence(templates[0]) == pytest.approx(0.75)
 
 
+def test_template_relations_of_sentences(spark):
+    texts = [
+        (1, "Alice Johnson works for TechCorp Inc, which is located in San Francisco. John Smith founded TechCorp Inc.", ["Alice Johnson", "TechCorp Inc", "San Francisco", "John Smith"]),
+        (2, "Dr. Sarah Chen works for Microsoft Corporation in Seattle.", ["Dr. Sarah Chen", "Microsoft Corporation", "Seattle"]),
+        (3, "Apple Inc was founded by Steve Jobs and Steve Wozniak.", ["Apple Inc", "Steve Jobs", "Steve Wozniak"]),
+        (4, "The headquarters of Google is located in Mountain View, California.", ["Google", "Mountain View", "California"]),
+        (5, "", []),
+    ]
+    docs = spark.createDataFrame([x[:2] for x in texts], "doc_id int, text string")
+    ends = spark.createDataFrame([(i, e) for i, _, es in texts for e in es], "id int, text string")
+    got = relations.template_relations(docs, ends).groupBy("id", "source", "target", "relationship_type").agg(F.max("confidence").alias("c")).collect()
+    assert {(r.id, r.source, r.target, r.relationship_type): round(r.c, 6) for r in got} == {
+        (1, "Alice Johnson", "TechCorp Inc", "works_for"): 0.8,
+        (1, "TechCorp Inc", "John Smith", "founded_by"): 0.75,
+        (2, "Dr. Sarah Chen", "Microsoft Corporation", "works_for"): 0.8,
+        (2, "Microsoft Corporation", "Seattle", "located_in"): 0.65,
+        (3, "Apple Inc", "Steve Jobs", "founded_by"): 0.8,
+        (4, "Google", "Mountain View", "located_in"): 0.8,
+    }
+
+
+def test_concepts_of_sentences(spark):
+    docs = spark.createDataFrame([(1, "Abel is an urban planner. I love woodworking and the acoustic guitar, in my house by the community garden."), (2, "Nothing here.")], "doc_id int, text string")
+    found = knowledge.concepts(docs)
+    want = {("Urban Planning", "profession"), ("Woodworking", "hobby"), ("Music", "hobby"), ("Gardening", "hobby"), ("Residence", "location"), ("Community Space", "location")}
+    assert {(r.id, r.name, r.entity_type) for r in found.collect()} == {(1, *x) for x in want}
+    person = spark.createDataFrame([(1, "Abel", "person")], "id int, name string, entity_type string")
+    got = {(r.source, r.target, r.relationship_type) for r in knowledge.domain_relations(found.unionByName(person)).collect()}
+    assert got == {("Abel", "Urban Planning", "works_in"), ("Abel", "Woodworking", "practices"), ("Abel", "Music", "practices"), ("Abel", "Gardening", "practices"), ("Abel", "Residence", "lives_in")}
+
+
 def test_entry_and_oracles():
     import __spark_entry__ as e
 
