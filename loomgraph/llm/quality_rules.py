@@ -220,7 +220,7 @@ def verdicts(voted: DataFrame) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are kept, with their own columns as they are, whatever their names."""
     whole = docs.select(F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__whole"))
-    return annotate(whole).where("kept").select("__whole.*")
+    return verdicts(ballots(whole).drop("text")).where("kept").select("__whole.*")
 
 
 def oracle() -> str:

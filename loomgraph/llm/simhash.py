@@ -251,12 +251,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, with its own columns as they are, whatever their names."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").alias("__id"), F.xxhash64(text).alias("__key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__whole"))
-    narrow = docs.select(F.col("doc_id").alias("__id"), F.xxhash64(text).alias("__key"), F.col("text").alias("__text"))
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    narrow = docs.select(F.col("doc_id").alias("__id"), key.alias("__key"), F.col("text").alias("__text"))
     own = scratch.write(fingerprints(narrow, "__text").select("__id", "__key", "fp"), "simhash")
     order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("i"), F.col("__key").alias("k"))
-    named = named_nodes(own, order)
-    first = named.groupBy("component").agg(F.min("least").alias("x")).select(F.col("x.i").alias("i"), F.col("x.k").alias("k"))
-    kept = rows.join(first, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__key") == F.col("k")), "left_semi")
-    return kept.dropDuplicates(["__id", "__key"]).select("__whole.*")
+    # one column that is never null tells rows apart, so that the join and the last step share one shuffle
+    row = lambda i, k: F.concat(F.coalesce(F.concat(F.lit("i"), i.cast("string")), F.lit("n")), F.lit(":"), k.cast("string")).alias("__row")
+    first = named_nodes(own, order).groupBy("component").agg(F.min("least").alias("x")).select(row(F.col("x.i"), F.col("x.k")))
+    rows = docs.select(row(F.col("doc_id"), key), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__whole"))
+    return rows.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select("__whole.*")
