@@ -1,13 +1,16 @@
-"""Resolution of duplicate entities: blocked pairs, a cascade of similarities, clusters.
+"""Resolution of duplicate entities: candidate pairs, a cascade of similarities, clusters.
 
 Candidates are ``(id, name, entity_type)`` with optional ``embedding`` and
-``confidence``. Only entities of one type (or of type "unknown" with any) that
-share a blocking key meet: an alias or a word of the normalised name. Names
-that share neither are not compared.
+``confidence``. Entities of one type (or of type "unknown" with any) are a match
+if they share an alias, if their names are near, or if their embeddings are.
+Each of the three has a join of its own that loses no pair over the threshold:
+equality of aliases, common segments of names (`near_names`) and anchors of
+vectors (`near_vectors`); no word needs to be shared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
@@ -16,8 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from loomgraph.functions.text import aliases, cosine, fuzzy_similarity, normalised_name, words
+from loomgraph import scratch
+from loomgraph.functions.text import aliases, cosine, fuzzy_similarity, normalised_name
 from loomgraph.operators.components import connected_components
+from loomgraph.operators.knowledge import near_vectors
 from loomgraph.ship import ship
 
 SIMILAR, FUZZY, SEMANTIC = 0.8, 0.85, 0.7
@@ -35,18 +40,81 @@ def sequence_ratio(a: Column, b: Column) -> Column:
 
 
 def keyed(entities: DataFrame) -> DataFrame:
-    """Entities with their normalised name, aliases and blocking keys."""
+    """Entities with their type, normalised name and aliases, and the text that their fuzzy similarity compares."""
     kind = F.lower(F.coalesce("entity_type", F.lit("unknown")))
-    own = entities.withColumns({"_kind": kind, "_norm": normalised_name(F.col("name")), "_alias": aliases(F.col("name"), F.col("entity_type"))})
-    return own.withColumn("_keys", F.array_distinct(F.concat("_alias", F.filter(words(F.col("_norm")), lambda w: F.length(w) > 1))))
+    return entities.withColumns({"_kind": kind, "_norm": normalised_name(F.col("name")), "_alias": aliases(F.col("name"), F.col("entity_type")), "_text": F.lower("name")})
 
 
-def pairs(entities: DataFrame) -> DataFrame:
-    """Pairs with id_a < id_b that share a key and whose types meet, each once."""
-    own = keyed(entities)
-    side = lambda s: own.select(F.explode("_keys").alias("_k"), *[F.col(c).alias(f"{c.strip('_')}_{s}") for c in ("id", "name", "_kind", "_norm", "_alias")], *([F.col("embedding").alias(f"embedding_{s}")] if "embedding" in entities.columns else []))
-    both = side("a").join(side("b"), "_k").where("id_a < id_b and (kind_a = kind_b or kind_a = 'unknown' or kind_b = 'unknown')")
-    return both.drop("_k").dropDuplicates(["id_a", "id_b"])
+def near_names(left: DataFrame, right: DataFrame | None = None, least: float = FUZZY, fuzzy: str = "ratio") -> DataFrame:
+    """Distinct pairs ``(x, y)`` of the texts in column ``_text`` that may reach `least`; every pair that does is among them.
+
+    With one table, pairs of its unlike texts, each once; with two, x is of `left`
+    and y of `right`, equal ones included. A similarity of `least` leaves room for
+    so many edits of the longer text; cut into one more segments than that, one of
+    them stands unchanged in the shorter text, not far from its place. So texts meet
+    on segments (and a band of lengths), and are kept if place, length and edit
+    distance agree. Repeated texts are compared once. Empty texts meet nothing.
+    """
+    slack = 1 - least
+    if not 0 <= slack < (1 if fuzzy == "distance" else 0.5):
+        raise ValueError(f"least must be over {0 if fuzzy == 'distance' else 0.5} and at most 1")
+    edits = lambda l, s: F.floor((l if fuzzy == "distance" else l + s) * F.lit(slack) + F.lit(1e-9)).cast("int")
+    # the longest text that one of length 1 may meet is so much longer
+    reach = 1 / least if fuzzy == "distance" else (1 + slack) / least
+    band = lambda n: F.floor(F.log(n) / F.lit(max(math.log(reach), 0.01))).cast("int")
+    texts = lambda df: df.where(F.length("_text") > 0).select(F.col("_text").alias("t"), F.length("_text").alias("n")).distinct()
+
+    def cut(df: DataFrame) -> DataFrame:
+        n, parts = F.col("n"), F.least(edits(F.col("n"), F.col("n")) + 1, F.col("n"))
+        start = lambda k: F.floor(k * n / parts).cast("int")
+        segment = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(start(k).alias("at"), F.substring(F.col("t"), start(k) + 1, start(k + 1) - start(k)).alias("segment")))
+        return texts(df).withColumn("s", F.explode(segment)).select(F.col("t").alias("long"), F.col("n").alias("ln"), band(n).alias("band"), "s.segment", F.col("s.at").alias("la"))
+
+    def windows(df: DataFrame) -> DataFrame:
+        n = F.col("n")
+        parts = lambda l: F.least(edits(l, l) + 1, l)
+        longest = F.floor(n * F.lit(reach) + F.lit(1e-9)).cast("int")
+        sizes = F.array_distinct(F.flatten(F.transform(F.sequence(n, longest), lambda l: F.array(F.floor(l / parts(l)), F.ceil(l / parts(l))).cast("array<int>"))))
+        own = texts(df).withColumns({"b": F.sequence(band(n), band(longest)), "w": F.explode(sizes)}).where("w <= n")
+        own = own.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("w"))))
+        return own.select(F.col("t").alias("short"), F.col("n").alias("sn"), F.explode("b").alias("band"), F.expr("substring(t, at + 1, w)").alias("segment"), F.col("at").alias("sa"))
+
+    def meet(longer: DataFrame, shorter: DataFrame, ordered: str) -> DataFrame:
+        room = edits(F.col("ln"), F.col("sn"))
+        shift, gap = F.col("la") - F.col("sa"), F.col("ln") - F.col("sn")
+        both = cut(longer).join(windows(shorter), ["band", "segment"]).where(ordered).where(F.abs(shift) + F.abs(gap - shift) <= room)
+        both = both.select("long", "short", room.alias("room")).distinct()
+        return both.where(F.levenshtein("long", "short") <= F.col("room"))
+
+    if right is None:
+        return meet(left, left, "ln > sn or (ln = sn and long < short)").select(F.col("long").alias("x"), F.col("short").alias("y"))
+    one = meet(left, right, "ln >= sn").select(F.col("long").alias("x"), F.col("short").alias("y"))
+    return one.unionByName(meet(right, left, "ln > sn").select(F.col("short").alias("x"), F.col("long").alias("y")))
+
+
+def _side(own: DataFrame, s: str) -> DataFrame:
+    return own.select(*[F.col(c).alias(f"{c.strip('_')}_{s}") for c in ("id", "name", "_kind", "_norm", "_alias", "_text", "embedding") if c in own.columns])
+
+
+def _by_alias(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.withColumn("_k", F.explode("alias_a")).join(b.withColumn("_k", F.explode("alias_b")), "_k").drop("_k")
+
+
+TYPES_MEET = "(kind_a = kind_b or kind_a = 'unknown' or kind_b = 'unknown')"
+
+
+def pairs(entities: DataFrame, fuzzy: str = "ratio") -> DataFrame:
+    """Pairs with id_a < id_b whose types meet and that may be a match, each once: all that share an alias, or have near names or embeddings."""
+    own = scratch.write(keyed(entities), "keyed")
+    a, b = _side(own, "a"), _side(own, "b")
+    near = near_names(own.withColumn("_text", F.trim("_text")) if fuzzy == "distance" else own, None, FUZZY, fuzzy)
+    near = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    text = (lambda c: F.trim(c)) if fuzzy == "distance" else F.col
+    out = _by_alias(a, b).unionByName(a.join(near, text("text_a") == F.col("x")).join(b, text("text_b") == F.col("y")).drop("x", "y"))
+    if "embedding" in entities.columns:
+        like = near_vectors(own.select("id", "embedding"), SEMANTIC - 1e-9, "id", "embedding").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+        out = out.unionByName(a.join(like, "id_a").join(b, "id_b"))
+    return out.where(f"id_a < id_b and {TYPES_MEET}").dropDuplicates(["id_a", "id_b"])
 
 
 def similarity(both: DataFrame, fuzzy: str = "ratio") -> DataFrame:
@@ -60,7 +128,7 @@ def similarity(both: DataFrame, fuzzy: str = "ratio") -> DataFrame:
     alias = F.arrays_overlap("alias_a", "alias_b")
     f = sequence_ratio(F.col("name_a"), F.col("name_b")) if fuzzy == "ratio" else fuzzy_similarity(F.col("name_a"), F.col("name_b"))
     out = both.withColumn("_f", f)
-    s = cosine(F.col("embedding_a"), F.col("embedding_b")) if "embedding_a" in both.columns else F.lit(0.0)
+    s = cosine(F.col("embedding_a"), F.col("embedding_b")) if {"embedding_a", "embedding_b"} <= set(both.columns) else F.lit(0.0)
     out = out.withColumn("_s", s)
     return out.withColumns({
         "score": F.when(same, 1.0).when(norm, 0.95).when(alias, 0.9).otherwise(F.greatest("_f", "_s")),
@@ -70,7 +138,7 @@ def similarity(both: DataFrame, fuzzy: str = "ratio") -> DataFrame:
 
 def matches(entities: DataFrame, fuzzy: str = "ratio") -> DataFrame:
     """Pairs whose score reaches the threshold of their kind of match."""
-    out = similarity(pairs(entities), fuzzy)
+    out = similarity(pairs(entities, fuzzy), fuzzy)
     least = F.when(F.col("match_type") == "fuzzy", FUZZY).when(F.col("match_type") == "semantic", SEMANTIC).otherwise(SIMILAR)
     return out.where(F.col("score") >= least).select("id_a", "id_b", "score", "match_type")
 
@@ -99,23 +167,28 @@ def merge(canonical: Column, duplicate: Column) -> Column:
 
 
 def resolve(new: DataFrame, registry: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """``(id, match, score)``: the registered entity that each new one is most like, null below `least`."""
-    a = keyed(new).select(F.explode("_keys").alias("_k"), F.col("id").alias("id_a"), F.col("name").alias("name_a"), F.col("_kind").alias("kind_a"), F.col("_norm").alias("norm_a"), F.col("_alias").alias("alias_a"))
-    b = keyed(registry).select(F.explode("_keys").alias("_k"), F.col("id").alias("id_b"), F.col("name").alias("name_b"), F.col("_kind").alias("kind_b"), F.col("_norm").alias("norm_b"), F.col("_alias").alias("alias_b"))
-    both = a.join(b, "_k").where("kind_a = kind_b or kind_a = 'unknown' or kind_b = 'unknown'").drop("_k").dropDuplicates(["id_a", "id_b"])
+    """``(id, match, score)``: the registered entity that each new one is most like (ties to the smaller id), null below `least`."""
+    own, known = (scratch.write(keyed(df).withColumn("_text", F.trim("_text")), "keyed") for df in (new, registry))
+    a, b = _side(own, "a"), _side(known, "b")
+    near = near_names(own, known, least, "distance")
+    both = _by_alias(a, b).unionByName(a.join(near, F.col("text_a") == F.col("x")).join(b, F.col("text_b") == F.col("y")).drop("x", "y"))
+    if "embedding_a" in a.columns and "embedding_b" in b.columns:
+        ends = [df.select(F.struct(F.lit(k).alias("k"), F.col("id").cast("string").alias("id")).alias("e"), "embedding") for k, df in enumerate((own, known))]
+        like = near_vectors(ends[0].unionByName(ends[1]), least - 1e-9, "e", "embedding").where("a.k = 0 and b.k = 1").select(F.col("a.id").alias("ia"), F.col("b.id").alias("ib"))
+        both = both.unionByName(a.join(like, F.col("id_a").cast("string") == F.col("ia")).join(b, F.col("id_b").cast("string") == F.col("ib")).drop("ia", "ib"))
+    both = both.where(TYPES_MEET).dropDuplicates(["id_a", "id_b"])
     scored = similarity(both, "distance").where(F.col("score") >= least)
-    best = scored.groupBy("id_a").agg(F.max(F.struct("score", "id_b")).alias("x"))
-    return new.select("id").join(best, F.col("id") == F.col("id_a"), "left").select("id", F.col("x.id_b").alias("match"), F.col("x.score").alias("score"))
+    best = scored.groupBy("id_a").agg(F.min(F.struct((-F.col("score")).alias("score"), "id_b")).alias("x"))
+    return new.select("id").join(best, F.col("id") == F.col("id_a"), "left").select("id", F.col("x.id_b").alias("match"), (-F.col("x.score")).alias("score"))
 
 
 def similar_existing(new: DataFrame, existing: DataFrame, least: float = 0.85) -> DataFrame:
-    """``(id, match)``: the entity of the same id, else the first by id whose name is `least` similar; edit distance bounds lengths, which are the blocks."""
+    """``(id, match)``: the entity of the same id, else the first by id whose name is `least` similar."""
     same = new.join(existing.select(F.col("id").alias("match")), F.col("id") == F.col("match")).select(F.col("id").alias("new_id"), "match", F.lit(0).alias("r"))
-    length = F.length(F.trim(F.lower("name")))
-    lo, hi = F.ceil(length * least).cast("int"), F.floor(length / least).cast("int")
-    a = new.where(length > 0).select(F.col("id").alias("new_id"), F.col("name").alias("a"), F.explode(F.sequence(lo, hi)).alias("len"))
-    b = existing.select(F.col("id").alias("match"), F.col("name").alias("b"), length.alias("len"))
-    near = a.join(b, "len").where(fuzzy_similarity(F.col("a"), F.col("b")) >= least).select("new_id", "match", F.lit(1).alias("r"))
+    a, b = (df.withColumn("_text", F.trim(F.lower("name"))) for df in (new, existing))
+    alike = near_names(a, b, least, "distance").where(fuzzy_similarity(F.col("x"), F.col("y")) >= least)
+    first = alike.join(b.select(F.col("id").alias("match"), F.col("_text").alias("y")), "y").groupBy("x").agg(F.min("match").alias("match"))
+    near = a.select(F.col("id").alias("new_id"), F.col("_text").alias("x")).join(first, "x").select("new_id", "match", F.lit(1).alias("r"))
     w = Window.partitionBy("new_id").orderBy("r", "match")
     return same.unionByName(near).withColumn("_n", F.row_number().over(w)).where("_n = 1").select(F.col("new_id").alias("id"), "match")
 

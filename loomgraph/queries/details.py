@@ -111,7 +111,7 @@ ORACLES = {
     "a21_merge_candidates": "SELECT user_id AS id, event_type AS key, count(*) AS mentions, round(least(1.0, max(round(least(0.9, value / 200), 2)) + 0.1 * (count(*) - 1)), 4) AS confidence FROM events GROUP BY ALL",
     "a22_relation_dedup": "SELECT l_suppkey AS id, lower(l_returnflag) AS source, l_linestatus AS target, max(round(1 - l_discount * 5, 2)) AS confidence FROM lineitem GROUP BY ALL",
     "a23_calibration": "SELECT l_suppkey AS id, lower(l_returnflag) AS source, lower(l_linestatus) AS target, round(least(1.0, avg(round(1 - l_discount * 5, 2)) + least(0.2, 0.05 * count(DISTINCT l_linenumber))), 5) AS confidence FROM lineitem GROUP BY ALL",
-    "a25_resolution_statistics": """WITH p AS (SELECT p_name AS name FROM part GROUP BY p_name), s AS (SELECT 1.0 - levenshtein(a.name, b.name) / CAST(greatest(length(a.name), length(b.name)) AS DOUBLE) AS score FROM p a JOIN p b ON a.name < b.name AND list_has_any(string_split(a.name, ' '), string_split(b.name, ' ')))
+    "a25_resolution_statistics": """WITH p AS (SELECT p_name AS name FROM part GROUP BY p_name), s AS (SELECT 1.0 - levenshtein(a.name, b.name) / CAST(greatest(length(a.name), length(b.name)) AS DOUBLE) AS score FROM p a JOIN p b ON a.name < b.name)
       SELECT 'fuzzy' AS match_type, count(*) AS n, round(avg(score), 5) AS score FROM s WHERE score >= 0.85""",
     "a31_fallback_scores": "SELECT 0.25 AS completeness, 0.2 AS accuracy, 0.4 AS connectivity, 0.28 AS overall",
     "f7_valid_texts": f"SELECT p_partkey FROM part WHERE NOT list_contains(string_split('{' '.join(E.stop_words())}', ' '), lower(string_split(p_name, ' ')[1])) AND length(string_split(p_name, ' ')[1]) > 2 AND NOT regexp_full_match(string_split(p_name, ' ')[1], '[0-9]+')",

@@ -174,9 +174,9 @@ ORACLES = {
     "n1_resolution_matches": _values([("e1", "e2", "alias", 0.9), ("e3", "e4", "alias", 0.9)], "id_a", "id_b", "match_type", "score"),
     "n3_resolution_clusters": _values([("e1", 2, 0.9), ("e3", 2, 0.9)], "cluster", "size", "confidence"),
     "n2_part_matches": """WITH p AS (SELECT p_name AS name, CAST(min(p_partkey) AS VARCHAR) AS id FROM part GROUP BY p_name),
-      s AS (SELECT a.id AS id_a, b.id AS id_b, 1.0 - levenshtein(lower(a.name), lower(b.name)) / CAST(greatest(length(a.name), length(b.name)) AS DOUBLE) AS score FROM p a JOIN p b ON a.id < b.id AND list_has_any(string_split(a.name, ' '), string_split(b.name, ' ')))
+      s AS (SELECT a.id AS id_a, b.id AS id_b, 1.0 - levenshtein(lower(a.name), lower(b.name)) / CAST(greatest(length(a.name), length(b.name)) AS DOUBLE) AS score FROM p a JOIN p b ON a.id < b.id)
       SELECT id_a, id_b, 'fuzzy' AS match_type, round(score, 6) AS score FROM s WHERE score >= 0.85""",
-    "n4_resolve_online": _values([("q1", "e4", 0.9), ("q2", None, None)], "id", "match", "score"),
+    "n4_resolve_online": _values([("q1", "e3", 0.9), ("q2", None, None)], "id", "match", "score"),
     "n5_merge": _values([("a,b", 3, "1", "3", 0.8)], "aliases", "mentions", "k", "j", "confidence"),
     "n7_similar_existing": """SELECT * FROM (VALUES ('c7', 'c7')) v(id, match) UNION ALL SELECT 'new1', min('s' || s_suppkey) FROM supplier WHERE 1 - levenshtein(lower(s_name), 'supplier#00000001') / greatest(length(s_name), 17.0) >= 0.85""",
     "j20_near_embeddings": "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.3",
