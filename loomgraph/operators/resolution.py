@@ -108,7 +108,8 @@ def pairs(entities: DataFrame, fuzzy: str = "ratio") -> DataFrame:
     own = scratch.write(keyed(entities), "keyed")
     a, b = _side(own, "a"), _side(own, "b")
     near = near_names(own.withColumn("_text", F.trim("_text")) if fuzzy == "distance" else own, None, FUZZY, fuzzy)
-    near = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    both_ways = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
+    near = scratch.write(near.select(F.explode(both_ways).alias("p")).select("p.x", "p.y"), "near-names")
     text = (lambda c: F.trim(c)) if fuzzy == "distance" else F.col
     out = _by_alias(a, b).unionByName(a.join(near, text("text_a") == F.col("x")).join(b, text("text_b") == F.col("y")).drop("x", "y"))
     if "embedding" in entities.columns:
@@ -170,7 +171,7 @@ def resolve(new: DataFrame, registry: DataFrame, least: float = SIMILAR) -> Data
     """``(id, match, score)``: the registered entity that each new one is most like (ties to the smaller id), null below `least`."""
     own, known = (scratch.write(keyed(df).withColumn("_text", F.trim("_text")), "keyed") for df in (new, registry))
     a, b = _side(own, "a"), _side(known, "b")
-    near = near_names(own, known, least, "distance")
+    near = scratch.write(near_names(own, known, least, "distance"), "near-names")
     both = _by_alias(a, b).unionByName(a.join(near, F.col("text_a") == F.col("x")).join(b, F.col("text_b") == F.col("y")).drop("x", "y"))
     if "embedding_a" in a.columns and "embedding_b" in b.columns:
         ends = [df.select(F.struct(F.lit(k).alias("k"), F.col("id").cast("string").alias("id")).alias("e"), "embedding") for k, df in enumerate((own, known))]
