@@ -88,6 +88,18 @@ def density_clusters(vectors: DataFrame, eps: float = 0.3, id_col: str = "vec_id
     return connected_components(near.select("a", "b"))
 
 
+def merge_clusters(entities: DataFrame, found: DataFrame) -> DataFrame:
+    """`entities` (with ``id`` and ``importance``) in which the most important member (ties to the smallest id) stands for its cluster of `found`.
+
+    ``cluster_id`` and ``n_members`` are added; entities in no cluster stay as they are, with null and 1.
+    The other members' names are the rows of `found` with that ``component``.
+    """
+    own = entities.join(found.select(F.col("node").alias("id"), F.col("component").alias("cluster_id")), "id", "left")
+    best = own.where("cluster_id is not null").groupBy("cluster_id").agg(F.min(F.struct((-F.col("importance")).alias("i"), "id")).alias("b"), F.count("*").alias("n_members"))
+    base = best.select(F.col("b.id").alias("id"), "n_members")
+    return own.join(base, "id", "left").where("cluster_id is null or n_members is not null").withColumn("n_members", F.coalesce("n_members", F.lit(1).cast("long")))
+
+
 def graph(entities: DataFrame, relations: DataFrame, least: float = 0.3) -> tuple[DataFrame, DataFrame]:
     """Entities and relations over `least` confidence, relations with both ends among the entities."""
     e = entities.where(F.col("confidence") > least)

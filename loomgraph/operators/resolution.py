@@ -154,6 +154,22 @@ def clusters(entities: DataFrame, found: DataFrame) -> DataFrame:
     return out.join(score, "component").select(F.col("component").alias("cluster"), "canonical", "size", "confidence")
 
 
+def representatives(entities: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One entity for each cluster, and the clusters' aliases.
+
+    The first table has ``(id, name, entity_type, cluster_size, resolution_confidence)`` with the canonical
+    member's name and type and the id "resolved_" and the cluster's. The second has ``(id, alias)``, the
+    members' other names, each once; a row for each, since a cluster may have any number.
+    """
+    own = scratch.write(clusters(entities, found), "clusters")
+    name = F.concat(F.lit("resolved_"), F.col("cluster").cast("string"))
+    first = own.join(entities.select(F.col("id").alias("canonical"), "name", "entity_type"), "canonical")
+    out = first.select(name.alias("id"), "name", "entity_type", F.col("size").alias("cluster_size"), F.col("confidence").alias("resolution_confidence"))
+    member = connected_components(found.select("id_a", "id_b")).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    names = entities.join(member, "id").select(name.alias("id"), F.col("name").alias("alias")).distinct()
+    return out, names.join(out.select("id", F.col("name").alias("alias")), ["id", "alias"], "left_anti")
+
+
 def merge(canonical: Column, duplicate: Column) -> Column:
     """Two records (structs of aliases, mentions, properties, confidence): lists joined, the canonical's properties win, confidence weighted by mentions."""
     a, b = canonical, duplicate

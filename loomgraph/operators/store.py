@@ -145,3 +145,31 @@ def duplicate_keys(df: DataFrame, *columns: str) -> DataFrame:
     from loomgraph.functions.text import index_key
 
     return df.groupBy(index_key(*columns).alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def new_edges(extracted: DataFrame, relationships: DataFrame, entities: DataFrame) -> DataFrame:
+    """Extracted ``(source, target, relationship_type, confidence)`` that a bank lacks and whose ends it has, each once, with its highest confidence.
+
+    An edge is the same if source, target and type are; rows with a null among these are left out.
+    """
+    key = ["source", "target", "relationship_type"]
+    known = relationships.select(F.col("source_entity_id").alias("source"), F.col("target_entity_id").alias("target"), "relationship_type")
+    # one row an edge before anything is joined, so repeated edges are combined where they are read
+    out = extracted.groupBy(*key).agg(F.max("confidence").alias("confidence")).join(known, key, "left_anti")
+    for end in ("source", "target"):
+        out = out.join(entities.select(F.col("id").alias(end)), end, "left_semi")
+    return out.select(*key, "confidence")
+
+
+#: Megabytes that an entity and a relationship are taken to need.
+ENTITY_MB, RELATIONSHIP_MB = 0.001, 0.0005
+
+
+def statistics(entities: DataFrame, relationships: DataFrame, seconds: float | None = None) -> DataFrame:
+    """One row: counts, the estimated size, and the rows handled a second if `seconds` is given (a millisecond at least)."""
+    n = entities.agg(F.count("*").alias("entity_count")).crossJoin(relationships.agg(F.count("*").alias("relationship_count")))
+    out = n.withColumn("memory_mb", F.col("entity_count") * ENTITY_MB + F.col("relationship_count") * RELATIONSHIP_MB)
+    if seconds is None:
+        return out
+    rate = lambda c: F.col(c) / F.lit(max(0.001, seconds))
+    return out.withColumns({"entities_per_second": rate("entity_count"), "relationships_per_second": rate("relationship_count")})
