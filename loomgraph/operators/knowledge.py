@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType, StructField, StructType
 
-from loomgraph.functions.text import cosine, words
+from loomgraph import scratch
+from loomgraph.functions.text import cosine, let, words
 from loomgraph.operators.components import connected_components
+from loomgraph.ship import ship
 
 # Keywords of concepts, weights of types, words of verb contexts.
 CONCEPTS = (
@@ -59,33 +67,107 @@ def domain_relations(entities: DataFrame) -> DataFrame:
     return out.select("id", "source", F.col("name").alias("target"), "relationship_type", F.when(F.col("relationship_type") == "volunteers_at", 0.8).otherwise(0.9).alias("confidence"))
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.8, id_col: str = "vec_id", vec_col: str = "embedding", cells: int = 16, margin: float | None = None) -> DataFrame:
-    """Pairs (a < b) of vectors with cosine over `least`, exactly.
+#: Rows of a block at most, and rows multiplied with a block at once: what a worker holds is two blocks and a strip of products.
+BLOCK, STRIP = 4096, 256
+
+
+def _usable(v: Column) -> Column:
+    """Neither null nor zero, without null or non-finite components."""
+    return F.coalesce(F.forall(v, lambda x: F.abs(x) < float("inf")) & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def _meetings(vectors: DataFrame, least: float, id_col: str, vec_col: str, cells: int) -> DataFrame:
+    """Rows ``(id, v, cell, own, sent, side)``: any two within the angle meet under a key (cell, own, sent), one on each side.
 
     Vectors go to cells by their nearest anchor (a fixed set of rows). By the
     triangle inequality on angles, a pair within angle t shares the cell of one
     of them if the other is sent to every anchor within its own nearest angle
-    + 2t; so each row is keyed by its cell, and sent to the others it may meet.
+    + 2t. Where 2t is so wide that next to nothing would be left out, there is
+    one cell (-1), in which a pair of blocks meets once. Cells are dealt to
+    blocks by hash, each of which meets each block sent to the cell.
     """
-    import math
-
     t = math.acos(max(-1.0, min(1.0, least)))
-    rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    anchors = [r[0] for r in rows.orderBy(F.xxhash64("id"), "id").limit(cells).select("v").collect()]
-    if not anchors:
-        return rows.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("cosine")).where("false")
-    angle = F.array(*[F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("v"), F.array(*[F.lit(float(x)) for x in a]))))) for a in anchors])
-    keyed = rows.withColumn("_a", angle).withColumn("_near", F.array_min("_a"))
-    own = keyed.select("id", "v", (F.array_position("_a", F.col("_near")) - 1).cast("int").alias("cell"))
-    sent = keyed.select(F.col("id").alias("id2"), F.col("v").alias("v2"), F.explode(F.filter(F.transform("_a", lambda x, i: F.when(x <= F.col("_near") + 2 * t + 1e-9, i)), lambda i: i.isNotNull())).alias("cell"))
-    both = own.join(sent, "cell").where("id != id2").withColumn("cosine", cosine(F.col("v"), F.col("v2"))).where(F.col("cosine") > least)
+    single = vectors.schema[vec_col].dataType.elementType == FloatType()
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>" if single else "array<double>").alias("v")).where(_usable(F.col("v")))
+    if 2 * t > math.pi / 2:
+        own = sent = rows.withColumn("cell", F.lit(-1))
+    else:
+        # by their largest component first, lest squares leave the range of doubles
+        unit = let(F.array_max(F.transform("v", F.abs)), lambda most: F.transform("v", lambda x: x.cast("double") / most))
+        anchors = [r[0] for r in rows.orderBy(F.xxhash64("id"), "id").limit(cells).select(unit).collect()]
+        angle = F.array(*[F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("_u"), F.array(*[F.lit(float(x)) for x in a]))))) for a in anchors] or [F.lit(0.0)])
+        keyed = scratch.write(rows.withColumn("_u", unit).withColumn("_a", angle).drop("_u").withColumn("_near", F.array_min("_a")), "angles")
+        own = keyed.select("id", "v", (F.array_position("_a", F.col("_near")) - 1).cast("int").alias("cell"))
+        sent = keyed.select("id", "v", F.explode(F.filter(F.transform("_a", lambda x, i: F.when(x <= F.col("_near") + 2 * t + 1e-9, i)), lambda i: i.isNotNull())).alias("cell"))
+    # counts of the cells, a fixed number of rows; small tables are cut finer, for more tasks
+    counts = [{r[0]: r[1] for r in side.groupBy("cell").count().collect()} for side in ((own,) if own is sent else (own, sent))]
+    size = max(256, min(BLOCK, sum(counts[0].values()) // 8))
+    n_own, n_sent = ({c: -(-n // size) for c, n in x.items()} for x in (counts[0], counts[-1]))
+    if not n_own:
+        return own.withColumns({x: F.lit(0) for x in ("own", "sent", "side")}).where("false")
+    blocks = lambda n: F.element_at(F.create_map(*[F.lit(x) for kv in n.items() for x in kv]), F.col("cell"))
+    deal = lambda n: F.pmod(F.xxhash64("id", "v"), blocks(n)).cast("int")
+    # in the one cell a block meets those from its own number on, as the other side those up to it
+    first = F.when(F.col("cell") < 0, F.col("own")).otherwise(F.lit(0))
+    last = F.when(F.col("cell") < 0, F.col("sent")).otherwise(blocks(n_own) - 1)
+    left = own.where(F.col("cell").isin(list(n_sent))).withColumn("own", deal(n_own)).withColumn("sent", F.explode(F.sequence(first, blocks(n_sent) - 1))).withColumn("side", F.lit(0))
+    right = sent.where(F.col("cell").isin(list(n_own))).withColumn("sent", deal(n_sent)).withColumn("own", F.explode(F.sequence(F.lit(0), last))).withColumn("side", F.lit(1))
+    return left.unionByName(right)
+
+
+def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of rows, summed in the components' order like `cosine`."""
+    dot, a, b = (np.zeros(len(x)) for _ in range(3))
+    for k in range(x.shape[1]):
+        dot += x[:, k] * y[:, k]
+        a += x[:, k] * x[:, k]
+        b += y[:, k] * y[:, k]
+    return dot / (np.sqrt(a) * np.sqrt(b))
+
+
+def _near_rows(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Strips of one key's group: ids of its rows, places of near pairs among them, cosines, and the number of rows."""
+    table = pa.Table.from_batches(list(batches))
+    ids, side = table["id"].combine_chunks(), table["side"].to_numpy()
+    v = table["v"].combine_chunks()
+    length, flat = pc.list_value_length(v).to_numpy(zero_copy_only=False), v.flatten().to_numpy(zero_copy_only=False).astype(float)
+    start = np.concatenate([[0], np.cumsum(length)[:-1]]) if len(length) else length
+    for d in np.unique(length):
+        mine, their = (np.flatnonzero((length == d) & (side == s)) for s in (0, 1))
+        # powers of two change no digit, and keep squares within range
+        x, y = ((lambda m: np.ldexp(m, -np.frexp(np.abs(m).max(1, initial=0))[1][:, None]))(flat[start[at][:, None] + np.arange(d)]) for at in (mine, their))
+        ux, uy = (m / np.sqrt((m * m).sum(1))[:, None] for m in (x, y))
+        for s in range(0, len(mine), STRIP):
+            product = ux[s : s + STRIP] @ uy.T
+            i, j = np.nonzero(product > least - 1e-9)
+            for k in range(0, len(i), 1 << 18):
+                a, b = i[k : k + (1 << 18)] + s, j[k : k + (1 << 18)]
+                c = _exact(x[a], y[b])
+                yield ids, mine[a][c > least], their[b][c > least], c[c > least], table.num_rows
+
+
+def near_vectors(vectors: DataFrame, least: float = 0.8, id_col: str = "vec_id", vec_col: str = "embedding", cells: int = 16, margin: float | None = None) -> DataFrame:
+    """Pairs (a < b) of vectors with cosine over `least`, exactly.
+
+    Blocks of vectors that may hold such pairs (`_meetings`) are multiplied as
+    matrices; what is near the bound is settled by sums in the order of `cosine`.
+    Vectors that are null, zero or not finite, or of another length, are near none.
+    """
+    ship(vectors.sparkSession)
+    rows = _meetings(vectors, least, id_col, vec_col, cells)
+    kind = rows.schema["id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, a, b, c, _ in _near_rows(batches, least):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(c)], names=["id", "id2", "cosine"])
+
+    both = rows.groupBy("cell", "own", "sent").applyInArrow(run, StructType([StructField("id", kind), StructField("id2", kind), StructField("cosine", DoubleType())])).where("id != id2")
     return both.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), "cosine").dropDuplicates(["a", "b"])
 
 
 def density_clusters(vectors: DataFrame, eps: float = 0.3, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Density clusters with two members at least: connected vectors within cosine distance `eps`."""
-    near = near_vectors(vectors, 1 - eps, id_col, vec_col)
-    return connected_components(near.select("a", "b"))
+    return connected_components(near_vectors(vectors, 1 - eps, id_col, vec_col).select("a", "b"))
 
 
 def merge_clusters(entities: DataFrame, found: DataFrame) -> DataFrame:
