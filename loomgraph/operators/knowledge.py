@@ -165,9 +165,39 @@ def near_vectors(vectors: DataFrame, least: float = 0.8, id_col: str = "vec_id",
     return both.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), "cosine").dropDuplicates(["a", "b"])
 
 
+def near_links(vectors: DataFrame, least: float, id_col: str = "vec_id", vec_col: str = "embedding", cells: int = 16) -> DataFrame:
+    """Some of the pairs of `near_vectors`, by which the same vectors are connected: of two blocks, at most one link for each of their rows."""
+    ship(vectors.sparkSession)
+    rows = _meetings(vectors, least, id_col, vec_col, cells)
+    kind = rows.schema["id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: list[int] = []
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for ids, a, b, _, n in _near_rows(batches, least):
+            root = root or list(range(n))
+            now = np.fromiter((find(i) for i in range(n)), int, n)
+            # pairs already connected before this strip need no look
+            new = now[a] != now[b]
+            kept = []
+            for p, (i, j) in zip(np.flatnonzero(new), zip(now[a[new]].tolist(), now[b[new]].tolist(), strict=True), strict=True):
+                if (i := find(i)) != (j := find(j)):
+                    root[max(i, j)] = min(i, j)
+                    kept.append(p)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a[kept], pa.int64())), ids.take(pa.array(b[kept], pa.int64()))], names=["a", "b"])
+
+    return rows.groupBy("cell", "own", "sent").applyInArrow(run, StructType([StructField("a", kind), StructField("b", kind)])).where("a != b")
+
+
 def density_clusters(vectors: DataFrame, eps: float = 0.3, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Density clusters with two members at least: connected vectors within cosine distance `eps`."""
-    return connected_components(near_vectors(vectors, 1 - eps, id_col, vec_col).select("a", "b"))
+    return connected_components(near_links(vectors, 1 - eps, id_col, vec_col))
 
 
 def merge_clusters(entities: DataFrame, found: DataFrame) -> DataFrame:

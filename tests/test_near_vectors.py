@@ -36,6 +36,27 @@ def test_near_vectors_lose_no_pair(spark, least):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
 
 
+def test_links_connect_like_pairs(spark):
+    rows = vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    root = {i: i for i, _ in rows}
+    linked = set()
+    for i, x in rows:
+        for j, y in rows[:i]:
+            if cosine(x, y) > 0.8:
+                linked |= {i, j}
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    assert {(r.node, r.component) for r in K.density_clusters(df, 1 - 0.8).collect()} == {(i, root[i]) for i in linked}
+
+
+def test_links_of_copies_are_few(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0, 3.0]) for i in range(1500)], "vec_id long, embedding array<double>")
+    n = K.near_links(df, 0.35).count()
+    assert n < 1500 * 12
+    assert {tuple(r) for r in K.density_clusters(df, 0.65).collect()} == {(i, 0) for i in range(1500)}
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")
     assert K.near_vectors(df, 0.3).count() == K.near_vectors(df, 0.9).count() == K.density_clusters(df).count() == 0
