@@ -60,3 +60,11 @@ def test_links_of_copies_are_few(spark):
 def test_no_vectors(spark):
     df = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")
     assert K.near_vectors(df, 0.3).count() == K.near_vectors(df, 0.9).count() == K.density_clusters(df).count() == 0
+
+
+def test_merged_clusters_of_copies(spark, tmp_path):
+    from loomgraph.queries import QUERIES
+
+    spark.range(1200).selectExpr("id as vec_id", "array(1f, 2f, 3f) as embedding", "0 as label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    best = max(range(1200), key=lambda i: (i * 7919 % 1009, -i))
+    assert [tuple(r)[:3] for r in QUERIES["n8_merged_clusters"](spark, str(tmp_path)).collect()] == [(best, 0, 1200)]
