@@ -8,23 +8,29 @@ of rounds grows with the logarithm of the longest chain.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Tables of more rows are never broadcast: files of repeated values are far smaller than their rows in memory.
+FEW = 100_000
+
+
+def _large_star(edges: DataFrame, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m"))
     low = scratch.write(low.select("u", F.least("u", "m").alias("m")), "low")
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    return both.join(hint(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = scratch.write(down.groupBy("u").agg(F.min("v").alias("m")), "low")
-    moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    moved = down.join(hint(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
     return moved.unionByName(low.select("u", F.col("m").alias("v")))
 
 
@@ -42,8 +48,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now, first = own.where("u != v"), True
     key = F.xxhash64("u", "v").cast("decimal(38,0)")
     seen = None
+    # edges never grow by rounds; the rows of a written table are counted from its footers
+    hint = (lambda x: x.hint("merge")) if own.count() > FEW else (lambda x: x)
     for _ in range(max_rounds):
-        new = scratch.write(_small_star(_large_star(now)).distinct(), "cc")
+        new = scratch.write(_small_star(_large_star(now, hint), hint).distinct(), "cc")
         mark = tuple(new.agg(F.count("*"), F.sum(key)).first())
         if not first:
             scratch.drop(spark, now)

@@ -147,13 +147,14 @@ def clusters(m: DataFrame, links: DataFrame) -> DataFrame:
     """``(id, cluster, canonical, size, confidence)``: connected mentions; the longest proper noun names them."""
     best = scratch.write(best_links(links), "links")
     name = lambda c: F.concat_ws("/", F.col("id").cast("string"), c)
-    own = connected_components(best.select(name("mention").alias("u"), name("antecedent").alias("v")))
+    # joined by sorting: these files of few distinct texts may hold many more rows than a driver can broadcast
+    own = scratch.write(connected_components(best.select(name("mention").alias("u"), name("antecedent").alias("v"))), "own").hint("merge")
     table = m.withColumn("node", F.concat_ws("/", F.col("id").cast("string"), F.concat_ws(":", F.col("sentence").cast("string"), F.col("n").cast("string"))))
     member = table.join(own, "node")
     conf = best.select(name("mention").alias("node"), "confidence").join(own, "node").groupBy("component").agg(F.avg("confidence").alias("confidence"))
     top = F.struct((F.col("kind") == "proper").cast("int"), F.length("text"), -F.col("sentence"), F.col("text"))
     out = member.groupBy("id", "component").agg(F.max_by("text", top).alias("canonical"), F.count("*").alias("size"))
-    return out.join(conf, "component").select("id", F.col("component").alias("cluster"), "canonical", "size", F.coalesce("confidence", F.lit(0.8)).alias("confidence"))
+    return out.join(conf.hint("merge"), "component").select("id", F.col("component").alias("cluster"), "canonical", "size", F.coalesce("confidence", F.lit(0.8)).alias("confidence"))
 
 
 def basic_pronouns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

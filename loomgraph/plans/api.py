@@ -154,7 +154,7 @@ REQUESTS: dict[str, Callable[..., DataFrame]] = {
     "resolve": lambda b: resolution.matches(b.of("entities")),
     "extract_entities": lambda b, docs: extraction.extract_entities(docs),
     "extract_relationships": lambda b, docs: relations.sentence_relations(docs, extraction.extract_entities(docs)),
-    "resolve_coreferences": lambda b, docs: coreference.clusters(m := coreference.mentions(docs), coreference.candidates(m)),
+    "resolve_coreferences": lambda b, docs: coreference.clusters(m := coreference.mentions(docs), coreference.candidates(m, nearest=True)),
 }
 
 

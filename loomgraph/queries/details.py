@@ -70,7 +70,7 @@ QUERIES = {
     "a23_calibration": lambda s, d: R.calibrate(_relations(s, d)).select("id", "source", "target", F.round("confidence", 5).alias("confidence")),
     "a25_resolution_statistics": lambda s, d: N.statistics(N.matches(W.table(s, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").cast("string").alias("id")).withColumn("entity_type", F.lit("concept")), "distance")).select("match_type", "n", F.round("score", 5).alias("score")),
     "a31_fallback_scores": lambda s, d: s.createDataFrame([tuple(Q.fallback_scores(W.table(s, d, "nation").count(), W.table(s, d, "region").count()).values())], "completeness double, accuracy double, connectivity double, overall double"),
-    "c6_coreference_clusters": lambda s, d: O.clusters(m := scratch.write(O.mentions(W.table(s, d, "documents")), "mentions"), O.candidates(m)),
+    "c6_coreference_clusters": lambda s, d: O.clusters(m := scratch.write(O.mentions(W.table(s, d, "documents")), "mentions"), O.candidates(m, nearest=True)),
     "e5_similar_clusters": lambda s, d: E.cluster_similar(E.by_schema(W.table(s, d, "documents"))),
     "e10_instances": lambda s, d: V.validate_entities(E.as_instances(E.by_schema(W.table(s, d, "documents"))), V.default_schema()).groupBy("entity_type", "valid").agg(F.count("*").alias("n")),
     "e13_knowledge_graph": lambda s, d: K.graph(e := E.extract_entities(W.table(s, d, "documents")), R.sentence_relations(W.table(s, d, "documents"), e), 0.3)[1].groupBy("relationship_type").agg(F.count("*").alias("n")),

@@ -32,3 +32,12 @@ def test_a_recurring_name_is_not_paired_with_all_its_copies(spark):
 def test_sides_are_not_broadcast_by_the_size_of_their_files(spark):
     m = C.mentions(spark.createDataFrame([(1, "IBM sold. It grew. IBM did.")], "doc_id long, text string"))
     assert "BroadcastHashJoin" not in C.best_links(C.candidates(m, nearest=True))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clusters_of_a_recurring_name(spark):
+    m = C.mentions(spark.createDataFrame([(1, "IBM sold. " * 300), (2, "IBM and ACME. ACME did")], "doc_id long, text string"))
+    links = C.candidates(m, nearest=True)
+    assert links.count() == 299 + 1
+    out = C.clusters(m, links)
+    assert {(r.id, r.canonical, r.size) for r in out.collect()} == {(1, "IBM", 300), (2, "ACME", 2)}
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
