@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType, FloatType, StructField, StructType
 
 from loomgraph import scratch
 from loomgraph.functions.text import cosine, let, words
-from loomgraph.operators.components import connected_components
+from loomgraph.operators.components import connected_components, join_roots
 from loomgraph.ship import ship
 
 # Keywords of concepts, weights of types, words of verb contexts.
@@ -67,8 +67,10 @@ def domain_relations(entities: DataFrame) -> DataFrame:
     return out.select("id", "source", F.col("name").alias("target"), "relationship_type", F.when(F.col("relationship_type") == "volunteers_at", 0.8).otherwise(0.9).alias("confidence"))
 
 
-#: Rows of a block at most, and rows multiplied with a block at once: what a worker holds is two blocks and a strip of products.
-BLOCK, STRIP = 4096, 256
+#: Numbers and rows of a block at most, and rows multiplied with a block at once: what a worker holds is two blocks and a strip of products.
+NUMBERS, BLOCK, STRIP = 1 << 21, 1 << 15, 256
+#: Links that one task connects.
+LINKS = 1 << 21
 
 
 def _usable(v: Column) -> Column:
@@ -100,8 +102,9 @@ def _meetings(vectors: DataFrame, least: float, id_col: str, vec_col: str, cells
         own = keyed.select("id", "v", (F.array_position("_a", F.col("_near")) - 1).cast("int").alias("cell"))
         sent = keyed.select("id", "v", F.explode(F.filter(F.transform("_a", lambda x, i: F.when(x <= F.col("_near") + 2 * t + 1e-9, i)), lambda i: i.isNotNull())).alias("cell"))
     # counts of the cells, a fixed number of rows; small tables are cut finer, for more tasks
-    counts = [{r[0]: r[1] for r in side.groupBy("cell").count().collect()} for side in ((own,) if own is sent else (own, sent))]
-    size = max(256, min(BLOCK, sum(counts[0].values()) // 8))
+    seen = [side.groupBy("cell").agg(F.count("*"), F.max(F.size("v"))).collect() for side in ((own,) if own is sent else (own, sent))]
+    counts, longest = [{r[0]: r[1] for r in side} for side in seen], max((r[2] for r in seen[0]), default=1)
+    size = max(256, min(BLOCK, NUMBERS // longest, sum(counts[0].values()) // 8))
     n_own, n_sent = ({c: -(-n // size) for c, n in x.items()} for x in (counts[0], counts[-1]))
     if not n_own:
         return own.withColumns({x: F.lit(0) for x in ("own", "sent", "side")}).where("false")
@@ -125,25 +128,52 @@ def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt(a) * np.sqrt(b))
 
 
-def _near_rows(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """Strips of one key's group: ids of its rows, places of near pairs among them, cosines, and the number of rows."""
+def _near_rows(batches: Iterator[pa.RecordBatch], least: float, root: list[np.ndarray] | None = None) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Strips of one key's group: ids of its rows, places of near pairs among them, and cosines.
+
+    With `root`, to which a forest of the group's rows is added (see `join_roots`),
+    pairs that it connects already are left out, and cosines are exact only near the bound.
+    """
     table = pa.Table.from_batches(list(batches))
     ids, side = table["id"].combine_chunks(), table["side"].to_numpy()
     v = table["v"].combine_chunks()
     length, flat = pc.list_value_length(v).to_numpy(zero_copy_only=False), v.flatten().to_numpy(zero_copy_only=False).astype(float)
     start = np.concatenate([[0], np.cumsum(length)[:-1]]) if len(length) else length
+    if root is not None:
+        root.append(np.arange(len(ids)))
     for d in np.unique(length):
         mine, their = (np.flatnonzero((length == d) & (side == s)) for s in (0, 1))
         # powers of two change no digit, and keep squares within range
         x, y = ((lambda m: np.ldexp(m, -np.frexp(np.abs(m).max(1, initial=0))[1][:, None]))(flat[start[at][:, None] + np.arange(d)]) for at in (mine, their))
-        ux, uy = (m / np.sqrt((m * m).sum(1))[:, None] for m in (x, y))
+        # single precision finds what may be near: more than it can be wrong by is left to the exact sums
+        ux, uy = ((m / np.sqrt((m * m).sum(1))[:, None]).astype(np.float32) for m in (x, y))
+        wrong = 2.4e-7 * (d + 8)
         for s in range(0, len(mine), STRIP):
-            product = ux[s : s + STRIP] @ uy.T
-            i, j = np.nonzero(product > least - 1e-9)
-            for k in range(0, len(i), 1 << 18):
-                a, b = i[k : k + (1 << 18)] + s, j[k : k + (1 << 18)]
-                c = _exact(x[a], y[b])
-                yield ids, mine[a][c > least], their[b][c > least], c[c > least], table.num_rows
+            rows, every = np.arange(s, min(s + STRIP, len(mine))), np.arange(len(their))
+            parts = [(rows, every)]
+            if root is not None and len(their):
+                # those of the commonest tree need not meet each other
+                now = root[0][their]
+                tree = np.bincount(now).argmax()
+                known = root[0][mine[rows]] == tree
+                parts = [(rows[~known], every), (rows[known], np.flatnonzero(now != tree))]
+            for p, q in parts:
+                if not len(p) or not len(q):
+                    continue
+                product = (ux[p] @ (uy if len(q) == len(uy) else uy[q]).T).ravel()
+                hit = np.flatnonzero(product > np.float32(least - wrong))
+                for k in range(0, len(hit), 1 << 18):
+                    at = hit[k : k + (1 << 18)]
+                    a, b = np.divmod(at, len(q))
+                    a, b = p[a], q[b]
+                    c = product[at].astype(float)
+                    unsure = np.arange(len(a))
+                    if root is not None:
+                        apart = root[0][mine[a]] != root[0][their[b]]
+                        a, b, c = a[apart], b[apart], c[apart]
+                        unsure = np.flatnonzero(c <= least + wrong)
+                    c[unsure] = _exact(x[a[unsure]], y[b[unsure]])
+                    yield ids, mine[a][c > least], their[b][c > least], c[c > least]
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.8, id_col: str = "vec_id", vec_col: str = "embedding", cells: int = 16, margin: float | None = None) -> DataFrame:
@@ -158,7 +188,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.8, id_col: str = "vec_id",
     kind = rows.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, a, b, c, _ in _near_rows(batches, least):
+        for ids, a, b, c in _near_rows(batches, least):
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(c)], names=["id", "id2", "cosine"])
 
     both = rows.groupBy("cell", "own", "sent").applyInArrow(run, StructType([StructField("id", kind), StructField("id2", kind), StructField("cosine", DoubleType())])).where("id != id2")
@@ -172,32 +202,17 @@ def near_links(vectors: DataFrame, least: float, id_col: str = "vec_id", vec_col
     kind = rows.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root: list[int] = []
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for ids, a, b, _, n in _near_rows(batches, least):
-            root = root or list(range(n))
-            now = np.fromiter((find(i) for i in range(n)), int, n)
-            # pairs already connected before this strip need no look
-            new = now[a] != now[b]
-            kept = []
-            for p, (i, j) in zip(np.flatnonzero(new), zip(now[a[new]].tolist(), now[b[new]].tolist(), strict=True), strict=True):
-                if (i := find(i)) != (j := find(j)):
-                    root[max(i, j)] = min(i, j)
-                    kept.append(p)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a[kept], pa.int64())), ids.take(pa.array(b[kept], pa.int64()))], names=["a", "b"])
+        root: list[np.ndarray] = []
+        for ids, a, b, _ in _near_rows(batches, least, root):
+            kept = join_roots(root[0], a, b)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[kept])) for x in (a, b)], names=["a", "b"])
 
     return rows.groupBy("cell", "own", "sent").applyInArrow(run, StructType([StructField("a", kind), StructField("b", kind)])).where("a != b")
 
 
 def density_clusters(vectors: DataFrame, eps: float = 0.3, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Density clusters with two members at least: connected vectors within cosine distance `eps`."""
-    return connected_components(near_links(vectors, 1 - eps, id_col, vec_col))
+    return connected_components(near_links(vectors, 1 - eps, id_col, vec_col), one=LINKS)
 
 
 def merge_clusters(entities: DataFrame, found: DataFrame) -> DataFrame:

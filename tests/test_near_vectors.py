@@ -68,3 +68,23 @@ def test_merged_clusters_of_copies(spark, tmp_path):
     spark.range(1200).selectExpr("id as vec_id", "array(1f, 2f, 3f) as embedding", "0 as label").write.parquet(str(tmp_path / "embeddings.parquet"))
     best = max(range(1200), key=lambda i: (i * 7919 % 1009, -i))
     assert [tuple(r)[:3] for r in QUERIES["n8_merged_clusters"](spark, str(tmp_path)).collect()] == [(best, 0, 1200)]
+
+
+def test_links_are_connected_by_tasks(spark):
+    """No rounds of joins where the links fit a task; where they don't, tasks leave forests first."""
+    from loomgraph import scratch
+    from loomgraph.operators.components import connected_components
+
+    rnd = random.Random(5)
+    for kind, form in (("bigint", lambda x: x), ("string", str)):
+        rows = [(form(rnd.randrange(300)), form(rnd.randrange(300))) for _ in range(170)] + [(form(1), None)] + 700 * [(form(7), form(8))]
+        root = {x: x for r in rows for x in r if None not in r}
+        for u, v in rows:
+            if v is not None and (a := root[u]) != (b := root[v]):
+                root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+        edges = spark.createDataFrame(rows, f"u {kind}, v {kind}")
+        made = len(scratch._MADE)
+        assert {tuple(r) for r in connected_components(edges, one=1000).collect()} == set(root.items())
+        assert len(scratch._MADE) - made == 2
+        assert {tuple(r) for r in connected_components(edges, one=300).collect()} == set(root.items())
+        assert {tuple(r) for r in connected_components(edges, one=20).collect()} == set(root.items())
