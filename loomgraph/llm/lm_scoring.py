@@ -37,7 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
 from loomgraph import scratch
 from loomgraph.llm.chunks import grouped
@@ -51,8 +51,10 @@ WIDTH, SIDE = 16, 2
 PLACES = [*range(-SIDE, 0), *range(1, SIDE + 1)]
 ROUNDS = 2
 RATE, BATCH, DECAY = 4.0, 8192, 0.5
-TOKENS = 1 << 13
+TOKENS = 1 << 14
 BLOCK = 16384
+#: Products with it are sums, faster than the sums of slices.
+ONES = np.ones(BATCH + 2 * SIDE * BATCH + 2 * SIDE, np.float32)
 #: Spelt words that a task remembers, and their longest.
 HELD, SHORT = 1 << 18, 64
 
@@ -209,6 +211,39 @@ class Numbers:
         return tokens, stops[bounds][1:], np.diff(full[bounds])
 
 
+#: Columns of `numbered`.
+NUMBERED = ("token_numbers", "n_words")
+
+
+def numbered(docs: DataFrame, words: Vocabulary, text_col: str = "text") -> DataFrame:
+    """`docs` with each text as its token numbers (16-bit, as bytes) and its number of words in place of the text: spelt once, read by every round and by the scoring."""
+    ship(docs.sparkSession)
+    kept = [c for c in docs.columns if c not in (text_col, *NUMBERED)]
+    schema = StructType([*[docs.schema[c] for c in kept], StructField(NUMBERED[0], BinaryType()), StructField(NUMBERED[1], LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers(words)
+        for batch in grouped(batches, len(kept)):
+            tokens, ends, n = numbers.of(batch.column(len(kept)))
+            raw, cut = tokens.astype("<i2").tobytes(), [0, *(2 * ends).tolist()]
+            own = pa.array([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], own, pa.array(n.astype(np.int64))], names=[*kept, *NUMBERED])
+
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, schema)
+
+
+def _tokens(batches: Iterator[pa.RecordBatch], words: Vocabulary, at: int, text: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches with the token numbers of all texts in a row, where each ends, and the number of words of each; the texts or the columns of `numbered` are from column `at` on."""
+    numbers = Numbers(words) if text else None
+    for batch in grouped(batches, at):
+        if text:
+            yield batch, *numbers.of(batch.column(at))
+        else:
+            raw = batch.column(at).to_pylist()
+            ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))) // 2
+            yield batch, np.frombuffer(b"".join(raw), "<i2").astype(np.int32), ends, batch.column(at + 1).to_numpy()
+
+
 def bands(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """Where the classes begin: about equal sums of the counts' square roots, which keeps the expected size of a token's class small."""
     mass = np.cumsum(np.sqrt(counts + 1.0))
@@ -284,52 +319,68 @@ class Network:
         """The class of each token."""
         return np.repeat(np.arange(CLASSES, dtype=np.int16), np.diff(self.edges))
 
+    def by_class(self) -> list[np.ndarray]:
+        """Copies of the second step's weights, in one piece for each class: columns of the whole lie far apart."""
+        return [self.two[:, a:b].copy() for a, b in zip(self.edges, self.edges[1:], strict=False)]
+
     def log_probability(self, tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Of each token, given its neighbours, in parts of bounded size."""
         out = np.empty(len(tokens), np.float32)
         row, every = spaced(tokens, ends)
         of = self.classes()
+        # states are within 1: where no score can reach the cut, none is looked for
+        tops, twos = np.maximum.reduceat(np.abs(self.two).sum(0) + self.two_bias, self.edges[:-1]), self.by_class()
         for lo in range(0, len(tokens), TOKENS):
             own = tokens[lo : lo + TOKENS]
-            h = self.states(row, every[lo : lo + TOKENS])
-            group = of[own]
+            order, group, runs = _by_class(of[own])
+            own, h = own[order], self.states(row, every[lo : lo + TOKENS][order])
             z = np.minimum(h @ self.one + self.one_bias, MOST)
             got = z[np.arange(len(own)), group] - _log_sum(z)
-            for c, at in _by_class(group):
+            for c, i, j in runs:
                 a, b = self.edges[c], self.edges[c + 1]
-                z = np.minimum(h[at] @ self.two[:, a:b] + self.two_bias[a:b], MOST)
-                got[at] += z[np.arange(len(at)), own[at] - a] - _log_sum(z)
-            out[lo : lo + TOKENS] = got
+                z = h[i:j] @ twos[c]
+                z += self.two_bias[a:b]
+                if tops[c] > MOST:
+                    np.minimum(z, MOST, out=z)
+                got[i:j] += z[np.arange(j - i), own[i:j] - a] - _log_sum(z)
+            out[lo + order] = got
         return out
 
     def learn(self, tokens: np.ndarray, ends: np.ndarray, rate: float) -> None:
         """One pass of gradient steps over the tokens."""
         row, every = spaced(tokens, ends)
-        of = self.classes()
+        of, twos = self.classes(), self.by_class()
         for lo in range(0, len(tokens), BATCH):
             at, own = every[lo : lo + BATCH], tokens[lo : lo + BATCH]
             n = len(own)
+            # in the order of classes, so that each is a slice
+            order, group, runs = _by_class(of[own])
+            at, own = at[order], own[order]
             h = self.states(row, at)
-            group = of[own]
             p = _softmax(h @ self.one + self.one_bias)
             p[np.arange(n), group] -= 1
             back = p @ self.one.T
             self.one -= rate / n * (h.T @ p)
             self.one_bias -= rate / n * p.sum(0)
-            for c, i in _by_class(group):
+            place = own - self.edges[group]
+            for c, i, j in runs:
                 a, b = self.edges[c], self.edges[c + 1]
-                hc = h[i]
-                q = _softmax(hc @ self.two[:, a:b] + self.two_bias[a:b])
-                q.reshape(-1)[np.arange(len(i)) * (b - a) + own[i] - a] -= 1
-                back[i] += q @ self.two[:, a:b].T
+                hc, two = h[i:j], twos[c]
+                q = hc @ two
+                q += self.two_bias[a:b]
+                _softmax(q)
+                q.reshape(-1)[np.arange(j - i) * (b - a) + place[i:j]] -= 1
+                back[i:j] += q @ two.T
                 # a class is met in part of the steps: its own share sets the step
-                step = rate / (len(i) + 16)
-                self.two[:, a:b] -= step * (hc.T @ q)
-                self.two_bias[a:b] -= step * q.sum(0)
+                step = np.float32(rate / (j - i + 16))
+                hc = hc.T @ q
+                hc *= step
+                two -= hc
+                self.two_bias[a:b] -= step * (ONES[: j - i] @ q)
             back *= 1 - h * h
             self.hidden -= rate / n * back.sum(0)
             # what each token around a predicted one gets, by its place in the window
-            first, last = at[0] - SIDE, at[-1] + SIDE + 1
+            first, last = every[lo] - SIDE, every[lo + n - 1] + SIDE + 1
             got = np.zeros((last - first, len(PLACES) * WIDTH), np.float32)
             for k, step in enumerate(PLACES):
                 got[at + (step - first), k * WIDTH : (k + 1) * WIDTH] = back
@@ -342,6 +393,7 @@ class Network:
             total *= (rate / (count + 4)).astype(np.float32)[:, None]
             for k in range(len(PLACES)):
                 self.place[k][near[start]] -= total[:, k * WIDTH : (k + 1) * WIDTH]
+        self.two[:] = np.concatenate(twos, axis=1)
 
 
 def _sums(rows: np.ndarray, start: np.ndarray, count: np.ndarray, few: int = 4) -> np.ndarray:
@@ -350,18 +402,18 @@ def _sums(rows: np.ndarray, start: np.ndarray, count: np.ndarray, few: int = 4)
     for r in range(1, few):
         at = np.flatnonzero(count > r)
         out[at] += rows[start[at] + r]
-    for i in np.flatnonzero(count > few).tolist():
-        out[i] += rows[start[i] + few : start[i] + count[i]].sum(0)
+    long_ = np.flatnonzero(count > few)
+    for i, a, b in zip(long_.tolist(), (start[long_] + few).tolist(), (start[long_] + count[long_]).tolist(), strict=True):
+        out[i] += ONES[: b - a] @ rows[a:b]
     return out
 
 
-def _by_class(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each class that occurs and where."""
+def _by_class(group: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """An order by class, the classes in it, and each class that occurs with its slice of them."""
     order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist()
-    for c, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-        if a < b:
-            yield c, order[a:b]
+    group = group[order]
+    edges = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
+    return order, group, [(c, a, b) for c, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
 
 
 #: Scores are cut here, far beyond what is learnt, so that no exponential overflows.
@@ -369,7 +421,7 @@ MOST = 60.0
 
 
 def _sum(e: np.ndarray) -> np.ndarray:
-    return e @ np.ones(e.shape[1], e.dtype) + np.float32(1e-30)
+    return e @ ONES[: e.shape[1]] + np.float32(1e-30)
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
@@ -384,8 +436,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def train(docs: DataFrame, words: Vocabulary, text_col: str = "text", id_col: str = "doc_id", rounds: int = ROUNDS, share: int | None = None) -> Network:
-    """Rounds of distributed steps and averaging; round r learns from the ids whose hash modulo `share` is r modulo `share`. By default `share` is the number of rounds; with no more classes than rounds every document is learnt from."""
+def train(docs: DataFrame, words: Vocabulary, text_col: str | None = "text", id_col: str = "doc_id", rounds: int = ROUNDS, share: int | None = None) -> Network:
+    """Of texts, or with `text_col` None of a table of `numbered`. Rounds of distributed steps and averaging; round r learns from the ids whose hash modulo `share` is r modulo `share`. By default `share` is the number of rounds; with no more classes than rounds every document is learnt from."""
     share = share or rounds
     ship(docs.sparkSession)
     net = Network.fresh(words.counts)
@@ -396,9 +448,8 @@ def train(docs: DataFrame, words: Vocabulary, text_col: str = "text", id_col: st
         rate = RATE * DECAY**r
 
         def run(batches: Iterator[pa.RecordBatch], start: Network = net, rate: float = rate) -> Iterator[pa.RecordBatch]:
-            numbers, own, seen = Numbers(words), None, 0
-            for batch in grouped(batches, 0):
-                tokens, ends, _ = numbers.of(batch.column(0))
+            own, seen = None, 0
+            for _, tokens, ends, _ in _tokens(batches, words, 0, text_col is not None):
                 if len(tokens):
                     own = own or start.shaped(start.flat())
                     own.learn(tokens, ends, rate)
@@ -421,7 +472,7 @@ def train(docs: DataFrame, words: Vocabulary, text_col: str = "text", id_col: st
             for k, (n, x) in sums.items():
                 yield _block(k, n, x / n)
 
-        taken = docs.where((key == r % share) if share > 1 else F.lit(True)).select(text_col)
+        taken = docs.where((key == r % share) if share > 1 else F.lit(True)).select(*NUMBERED if text_col is None else [text_col])
         # a fixed number of first means for each block, then one: no task takes in all partitions' weights
         parts = taken.mapInArrow(run, form).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
         first = parts.repartition("block", "salt").drop("salt").mapInArrow(mean, form)
@@ -435,26 +486,26 @@ def _block(k: int, n: int, part: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([part.astype("<f4").tobytes()], pa.binary())], names=["block", "n", "part"])
 
 
-def score(docs: DataFrame, words: Vocabulary, net: Network, text_col: str = "text") -> DataFrame:
-    """`docs` with ``n_tokens`` (words), ``log_likelihood`` (of all their tokens) and ``mean_log_probability`` (for each word)."""
+def score(docs: DataFrame, words: Vocabulary, net: Network, text_col: str | None = "text") -> DataFrame:
+    """`docs` with ``n_tokens`` (words), ``log_likelihood`` (of all their tokens) and ``mean_log_probability`` (for each word); with `text_col` None, of a table of `numbered`, whose two columns are left out."""
     ship(docs.sparkSession)
     names = ("n_tokens", "log_likelihood", "mean_log_probability")
-    kept = [c for c in docs.columns if c not in names]
+    kept = [c for c in docs.columns if c not in names and (text_col is not None or c not in NUMBERED)]
     schema = StructType([*[docs.schema[c] for c in kept], StructField(names[0], LongType()), StructField(names[1], DoubleType()), StructField(names[2], DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(words)
-        for batch in grouped(batches, len(kept)):
-            tokens, ends, n = numbers.of(batch.column(len(kept)))
+        for batch, tokens, ends, n in _tokens(batches, words, len(kept), text_col is not None):
             sums = np.concatenate([[0.0], np.cumsum(net.log_probability(tokens, ends), dtype=np.float64)])
             starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
             total = sums[ends] - sums[starts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n.astype(np.int64)), pa.array(total), pa.array(total / np.maximum(1, n))], names=[*kept, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(n.astype(np.int64)), pa.array(total), pa.array(total / np.maximum(1, n))], names=[*kept, *names])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, schema)
+    own = NUMBERED if text_col is None else [F.col(f"`{text_col}`").alias("__text")]
+    return docs.select(*[F.col(f"`{c}`") for c in kept], *own).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     words = vocabulary(docs)
-    return score(docs, words, train(docs, words)).drop("text")
+    own = scratch.write(numbered(docs, words), "numbered")
+    return score(own, words, train(own, words, None), None)

@@ -743,3 +743,21 @@ def test_pipeline_stages(spark, tmp_path, docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, now, str(tmp_path)).columns == now.columns
         assert stage(spark, now.where("false"), str(tmp_path)).count() == 0
+
+
+def test_lm_numbered_texts_are_spelt_once(spark, tmp_path, monkeypatch):
+    """Numbers of tokens, written once, train and score like the texts; the query spells no text after that."""
+    rows = [(i, t, "x") for i, t in enumerate([None, "", " ", "one two three", "İstanbul ǅ one", "two three " * 3000])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string").repartition(1)
+    words = lm_scoring.vocabulary(docs)
+    own = lm_scoring.numbered(docs, words)
+    assert own.columns == ["doc_id", *lm_scoring.NUMBERED]
+    net, same = lm_scoring.train(docs, words), lm_scoring.train(own, words, None)
+    assert np.array_equal(net.flat(), same.flat())
+    of = lambda df: {r.doc_id: (r.n_tokens, r.log_likelihood, r.mean_log_probability) for r in df.collect()}
+    assert of(lm_scoring.score(docs, words, net)) == of(lm_scoring.score(own, words, net, None))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    read = []
+    monkeypatch.setattr(lm_scoring, "train", lambda d, *a, f=lm_scoring.train: read.append(d.columns) or f(d, *a))
+    assert lm_scoring.query(spark, str(tmp_path)).count() == 6
+    assert read == [["doc_id", *lm_scoring.NUMBERED]]
