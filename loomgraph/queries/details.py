@@ -73,7 +73,7 @@ QUERIES = {
     "c6_coreference_clusters": lambda s, d: O.clusters(m := scratch.write(O.mentions(W.table(s, d, "documents")), "mentions"), O.candidates(m, nearest=True)),
     "e5_similar_clusters": lambda s, d: E.cluster_similar(E.by_schema(W.table(s, d, "documents"))),
     "e10_instances": lambda s, d: V.validate_entities(E.as_instances(E.by_schema(W.table(s, d, "documents"))), V.default_schema()).groupBy("entity_type", "valid").agg(F.count("*").alias("n")),
-    "e13_knowledge_graph": lambda s, d: K.graph(e := E.extract_entities(W.table(s, d, "documents")), R.sentence_relations(W.table(s, d, "documents"), e), 0.3)[1].groupBy("relationship_type").agg(F.count("*").alias("n")),
+    "e13_knowledge_graph": lambda s, d: K.graph(e := scratch.write(E.extract_entities(W.table(s, d, "documents")), "entities"), R.sentence_relations(W.table(s, d, "documents"), e, least=0.3), 0.3)[1].groupBy("relationship_type").agg(F.count("*").alias("n")),
     "f7_valid_texts": lambda s, d: _parts(s, d).where(E.valid_text(F.element_at(F.split("p_name", " "), 1))).select("p_partkey"),
     "k5_ordered_limit": lambda s, d: W.entities(s, d).where("entity_type = 'person'").orderBy("id").limit(25).select("id"),
     "q25_logical_bundle": lambda s, d: C.check(audit.entities(s, d), audit.relationships(s, d), C.LOGICAL).groupBy("rule").agg(F.count("*").alias("n")),
