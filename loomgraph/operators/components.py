@@ -106,7 +106,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, one: int = 0) -
             scratch.drop(spark, left)
             left, n, before = forest, forest.count(), n
         if n <= one:
-            return scratch.write(_joined(left, True), "cc")
+            own = scratch.write(_joined(left, True), "cc")
+            return own.hint("merge") if own.count() > FEW else own
         edges, a, b = left, "u", "v"
     # written once: the edges may be costly to find
     own = scratch.write(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"`{a}` is not null and `{b}` is not null").distinct(), "cc")
