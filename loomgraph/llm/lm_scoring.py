@@ -55,8 +55,11 @@ TOKENS = 1 << 14
 BLOCK = 16384
 #: Products with it are sums, faster than the sums of slices.
 ONES = np.ones(BATCH + 2 * SIDE * BATCH + 2 * SIDE, np.float32)
-#: Spelt words that a task remembers, and their longest.
-HELD, SHORT = 1 << 18, 64
+EACH = np.arange(TOKENS)
+#: Rows for which all classes are scored at once, so that the scores stay in a core's cache.
+TILE = 1024
+#: Words of up to so many bytes are spelt together.
+SHORT = 64
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -91,18 +94,27 @@ def _pieces(words: list[str], n: np.ndarray) -> tuple[list[str], np.ndarray]:
     gap = np.flatnonzero(letters == 10)[0]
     weight = np.repeat(n, np.diff(np.flatnonzero(code == gap), prepend=-1))
     out, total = [], []
-    key, inside = np.zeros(len(code), np.int64), np.ones(len(code), bool)
-    for size in range(1, min(PIECE, 63 // bits) + 1):
-        last = code[size - 1 :]
-        key, inside = key[: len(last)] << bits | last, inside[: len(last)] & (last != gap)
-        order = np.argsort(key[inside], kind="stable")
-        k = key[inside][order]
+    longest = min(PIECE, 63 // bits)
+    after = np.concatenate([code, np.full(longest, gap)])
+    key, reach, inside = np.zeros(len(code), np.int64), np.zeros(len(code), np.int8), np.ones(len(code), bool)
+    for size in range(longest):
+        last = after[size : size + len(code)]
+        key = key << bits | last
+        inside &= last != gap
+        reach += inside
+    # in the order of the longest runs the shorter ones, which they begin with, are in order too
+    kept = np.flatnonzero(reach)
+    kept = kept[np.argsort(key[kept], kind="stable")]
+    key, reach, weight = key[kept], reach[kept], weight[kept]
+    for size in range(1, longest + 1):
+        within = np.flatnonzero(reach >= size)
+        k = key[within] >> (bits * (longest - size))
         first = np.flatnonzero(np.diff(k, prepend=-1))
         if len(first):
             chars = letters[k[first][:, None] >> (bits * np.arange(size - 1, -1, -1)) & ((1 << bits) - 1)].astype("<u4")
             text = chars.tobytes().decode("utf-32-le")
             out += [text[i : i + size] for i in range(0, len(text), size)]
-            total.append(np.add.reduceat(weight[: len(last)][inside][order], first))
+            total.append(np.add.reduceat(weight[within], first))
     return out, np.concatenate(total) if total else np.zeros(0, np.int64)
 
 
@@ -159,33 +171,86 @@ class Numbers:
 
     def __init__(self, vocabulary: Vocabulary):
         self.known = pa.array(vocabulary.words, pa.string())
-        self.piece = {p: WORDS + 2 * i for i, p in enumerate(vocabulary.pieces)}
         self.number = vocabulary.number
         self.base = VOCABULARY - 2 * BYTES
-        self.held: dict[str, list[int]] = {}
-
-    def spelt(self, word: str) -> list[int]:
-        """The longest pieces from the left; bytes where none fits. The last is one higher. These are not yet numbers by count."""
-        out = self.held.get(word)
-        if out is not None:
-            return out
-        out, at, get = [], 0, self.piece.get
+        # a tree of the pieces' bytes: its first node is the root, as a child it means none
+        nodes: list[dict[int, int]] = [{}]
+        own = [-1]
+        for i, piece in enumerate(vocabulary.pieces):
+            at = 0
+            for x in piece.encode():
+                if x not in nodes[at]:
+                    nodes[at][x] = len(nodes)
+                    nodes.append({})
+                    own.append(-1)
+                at = nodes[at][x]
+            own[at] = WORDS + 2 * i
+        self.child = np.zeros((len(nodes), 256), np.int32)
+        for at, children in enumerate(nodes):
+            self.child[at, list(children)] = list(children.values())
+        self.own = np.array(own, np.int32)
+
+    def spelt(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all words in a row and how many each has: the longest pieces from the left, bytes where none fits. A word's last is one higher. These are not yet numbers by count."""
+        words = words.cast(pa.string())
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        length = np.diff(ends)
+        long_ = np.flatnonzero(length > SHORT)
+        alone = [self._alone(data[a:b].tobytes()) for a, b in zip(ends[long_].tolist(), ends[long_ + 1].tolist(), strict=True)]
+        size = np.zeros(len(words), np.int64)
+        size[long_] = np.fromiter(map(len, alone), np.int64, len(alone))
+        # all short words at once, a token of each in every turn
+        word = np.flatnonzero((length > 0) & (length <= SHORT))
+        at, stop, turns = ends[word], ends[word + 1], []
+        while len(word):
+            token, step = self._longest(data, at, stop)
+            at = at + step
+            token += at == stop
+            turns.append((word, token))
+            size[word] += 1
+            more = np.flatnonzero(at < stop)
+            word, at, stop = word[more], at[more], stop[more]
+        begin = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), np.int32)
+        for turn, (word, token) in enumerate(turns):
+            flat[begin[word] + turn] = token
+        for i, own in zip(begin[long_].tolist(), alone, strict=True):
+            flat[i : i + len(own)] = own
+        return flat, size
+
+    def _longest(self, data: np.ndarray, at: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The token of the longest piece, or else of the byte, at each place, and its bytes."""
+        first = data[at]
+        token, step = self.base + 2 * first.astype(np.int32), np.ones(len(at), np.int64)
+        i = np.arange(len(at))
+        node = self.child[0][first]
+        deep = 1
+        while len(i):
+            own = self.own[node]
+            hit = np.flatnonzero(own >= 0)
+            token[i[hit]], step[i[hit]] = own[hit], deep
+            more = np.flatnonzero((node > 0) & (at[i] + deep < stop[i]))
+            i = i[more]
+            node = self.child[node[more], data[at[i] + deep]]
+            deep += 1
+        return token, step
+
+    def _alone(self, word: bytes) -> list[int]:
+        """The tokens of a long word."""
+        out, at = [], 0
+        child, pieces = self.child, self.own
         while at < len(word):
-            for size in range(PIECE, 0, -1):
-                own = get(word[at : at + size])
-                if own is not None:
-                    out.append(own)
-                    at += size
+            token, after, node = self.base + 2 * word[at], at + 1, 0
+            for i in range(at, len(word)):
+                node = int(child[node, word[i]])
+                if not node:
                     break
-            else:
-                out += [self.base + 2 * x for x in word[at].encode()]
-                at += 1
-        if out:
-            out[-1] += 1
-        if len(word) <= SHORT:
-            if len(self.held) >= HELD:
-                self.held.clear()
-            self.held[word] = out
+                if pieces[node] >= 0:
+                    token, after = int(pieces[node]), i + 1
+            out.append(token)
+            at = after
+        out[-1] += 1
         return out
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,13 +260,12 @@ class Numbers:
         words = coded.dictionary
         number = pc.fill_null(pc.index_in(words, self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         rest = np.flatnonzero(number < 0)
-        spelt = [self.spelt(w) for w in words.take(pa.array(rest)).to_pylist()]
         size = np.ones(len(words), np.int64)
-        size[rest] = np.fromiter(map(len, spelt), np.int64, len(spelt))
+        spelt, size[rest] = self.spelt(words.take(pa.array(rest)))
         begin = np.concatenate([[0], np.cumsum(size)])
         flat = np.zeros(begin[-1], np.int32)
         flat[begin[:-1][number >= 0]] = number[number >= 0]
-        flat[np.repeat(number < 0, size)] = np.fromiter((x for s in spelt for x in s), np.int32, int(size[rest].sum()))
+        flat[np.repeat(number < 0, size)] = spelt
         index = coded.indices.to_numpy(zero_copy_only=False)
         count = size[index]
         stops = np.concatenate([[0], np.cumsum(count)])
@@ -308,92 +372,93 @@ class Network:
             at += x.size
         return Network(self.edges, *out)
 
-    def states(self, row: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Of the tokens at `at`: from the rows of the tokens around them."""
-        h = np.broadcast_to(self.hidden, (len(at), WIDTH)).copy()
-        for k, step in enumerate(PLACES):
-            h += self.place[k].take(row[at + step], axis=0)
-        return np.tanh(h, out=h)
+    def rows(self) -> np.ndarray:
+        """A copy of the tables, a token's rows of all places one after the other."""
+        return self.place.transpose(1, 0, 2).reshape(-1, WIDTH)
 
     def classes(self) -> np.ndarray:
         """The class of each token."""
         return np.repeat(np.arange(CLASSES, dtype=np.int16), np.diff(self.edges))
 
     def by_class(self) -> list[np.ndarray]:
-        """Copies of the second step's weights, in one piece for each class: columns of the whole lie far apart."""
-        return [self.two[:, a:b].copy() for a, b in zip(self.edges, self.edges[1:], strict=False)]
+        """Copies of the second step's weights, a row for each token with its bias as last column, in one piece for each class."""
+        return [_with_bias(self.two[:, a:b], self.two_bias[a:b]) for a, b in zip(self.edges, self.edges[1:], strict=False)]
 
+    @np.errstate(over="ignore")
     def log_probability(self, tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Of each token, given its neighbours, in parts of bounded size."""
         out = np.empty(len(tokens), np.float32)
         row, every = spaced(tokens, ends)
         of = self.classes()
-        # states are within 1: where no score can reach the cut, none is looked for
-        tops, twos = np.maximum.reduceat(np.abs(self.two).sum(0) + self.two_bias, self.edges[:-1]), self.by_class()
+        one, twos, rows = _with_bias(self.one, self.one_bias), self.by_class(), self.rows()
         for lo in range(0, len(tokens), TOKENS):
             own = tokens[lo : lo + TOKENS]
             order, group, runs = _by_class(of[own])
-            own, h = own[order], self.states(row, every[lo : lo + TOKENS][order])
-            z = np.minimum(h @ self.one + self.one_bias, MOST)
-            got = z[np.arange(len(own)), group] - _log_sum(z)
+            own, h = own[order], _states(self.hidden, rows, row, every[lo : lo + TOKENS][order])
+            got = np.concatenate([_log_share(h[i : i + TILE], one, group[i : i + TILE]) for i in range(0, len(own), TILE)])
+            place = own - self.edges[group]
             for c, i, j in runs:
-                a, b = self.edges[c], self.edges[c + 1]
-                z = h[i:j] @ twos[c]
-                z += self.two_bias[a:b]
-                if tops[c] > MOST:
-                    np.minimum(z, MOST, out=z)
-                got[i:j] += z[np.arange(j - i), own[i:j] - a] - _log_sum(z)
+                got[i:j] += _log_share(h[i:j], twos[c], place[i:j])
             out[lo + order] = got
         return out
 
+    @np.errstate(over="ignore")
     def learn(self, tokens: np.ndarray, ends: np.ndarray, rate: float) -> None:
         """One pass of gradient steps over the tokens."""
         row, every = spaced(tokens, ends)
         of, twos = self.classes(), self.by_class()
+        one = _with_bias(self.one, self.one_bias)
+        rows = self.rows()
+        table = rows.reshape(VOCABULARY + 1, -1)
         for lo in range(0, len(tokens), BATCH):
             at, own = every[lo : lo + BATCH], tokens[lo : lo + BATCH]
             n = len(own)
+            first, last = at[0] - SIDE, at[-1] + SIDE + 1
             # in the order of classes, so that each is a slice
             order, group, runs = _by_class(of[own])
             at, own = at[order], own[order]
-            h = self.states(row, at)
-            p = _softmax(h @ self.one + self.one_bias)
-            p[np.arange(n), group] -= 1
-            back = p @ self.one.T
-            self.one -= rate / n * (h.T @ p)
-            self.one_bias -= rate / n * p.sum(0)
+            h = _states(self.hidden, rows, row, at)
+            back, add = np.empty((n, WIDTH), np.float32), np.zeros_like(one)
+            for i in range(0, n, TILE):
+                add += _slopes(h[i : i + TILE], one, group[i : i + TILE], rate / n, back[i : i + TILE])
+            one -= add
             place = own - self.edges[group]
             for c, i, j in runs:
-                a, b = self.edges[c], self.edges[c + 1]
-                hc, two = h[i:j], twos[c]
-                q = hc @ two
-                q += self.two_bias[a:b]
-                _softmax(q)
-                q.reshape(-1)[np.arange(j - i) * (b - a) + place[i:j]] -= 1
-                back[i:j] += q @ two.T
+                more = np.empty((j - i, WIDTH), np.float32)
                 # a class is met in part of the steps: its own share sets the step
-                step = np.float32(rate / (j - i + 16))
-                hc = hc.T @ q
-                hc *= step
-                two -= hc
-                self.two_bias[a:b] -= step * (ONES[: j - i] @ q)
+                twos[c] -= _slopes(h[i:j], twos[c], place[i:j], rate / (j - i + 16), more)
+                back[i:j] += more
+            h = h[:, :WIDTH]
             back *= 1 - h * h
-            self.hidden -= rate / n * back.sum(0)
+            self.hidden -= rate / n * (ONES[:n] @ back)
             # what each token around a predicted one gets, by its place in the window
-            first, last = every[lo] - SIDE, every[lo + n - 1] + SIDE + 1
-            got = np.zeros((last - first, len(PLACES) * WIDTH), np.float32)
+            moved = np.zeros((last - first + 2 * SIDE, WIDTH), np.float32)
+            moved[at + (SIDE - first)] = back
+            got = np.empty((last - first, len(PLACES), WIDTH), np.float32)
             for k, step in enumerate(PLACES):
-                got[at + (step - first), k * WIDTH : (k + 1) * WIDTH] = back
+                got[:, k] = moved[SIDE - step : SIDE - step + last - first]
             near = row[first:last]
             order = np.argsort(near, kind="stable")
             near = near[order]
             start = np.flatnonzero(np.diff(near, prepend=-1))
             count = np.diff(start, append=len(near))
-            total = _sums(got.take(order, axis=0), start, count)
+            total = _sums(got.reshape(last - first, -1).take(order, axis=0), start, count)
             total *= (rate / (count + 4)).astype(np.float32)[:, None]
-            for k in range(len(PLACES)):
-                self.place[k][near[start]] -= total[:, k * WIDTH : (k + 1) * WIDTH]
-        self.two[:] = np.concatenate(twos, axis=1)
+            table[near[start]] -= total
+        self.place[:] = table.reshape(VOCABULARY + 1, len(PLACES), WIDTH).transpose(1, 0, 2)
+        whole = np.concatenate(twos)
+        self.one[:], self.one_bias[:] = one[:, :WIDTH].T, one[:, WIDTH]
+        self.two[:], self.two_bias[:] = whole[:, :WIDTH].T, whole[:, WIDTH]
+
+
+def _states(hidden: np.ndarray, rows: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the tokens at `at`: from the tokens around them, whose rows of all places follow each other in `rows`. A last column of ones meets the biases."""
+    h = np.broadcast_to(hidden, (len(at), WIDTH)).copy()
+    for k, step in enumerate(PLACES):
+        h += rows.take(row.take(at + step) * np.int64(len(PLACES)) + k, axis=0)
+    out = np.ones((len(at), WIDTH + 1), np.float32)
+    np.tanh(h, out=out[:, :WIDTH])
+    return out
 
 
 def _sums(rows: np.ndarray, start: np.ndarray, count: np.ndarray, few: int = 4) -> np.ndarray:
@@ -420,20 +485,43 @@ def _by_class(group: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int
 MOST = 60.0
 
 
-def _sum(e: np.ndarray) -> np.ndarray:
-    return e @ ONES[: e.shape[1]] + np.float32(1e-30)
+LARGEST = float(np.exp(MOST))
 
 
-def _log_sum(z: np.ndarray) -> np.ndarray:
-    """Of the exponentials of each row of `z`, which is used up."""
-    return np.log(_sum(np.exp(z, out=z)))
+def _with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """A row for each output, its bias last."""
+    return np.concatenate([weights.T, bias[:, None]], axis=1)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    np.minimum(z, MOST, out=z)
+def _exponentials(h: np.ndarray, weights: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Of the scores; the sum of each row; and the scores at `at`."""
+    z = h @ weights.T
+    own = None if at is None else np.minimum(z.reshape(-1).take(at), MOST)
     np.exp(z, out=z)
-    z *= (1 / _sum(z))[:, None]
-    return z
+    sums = z @ ONES[: len(weights)]
+    # no score is over the cut unless a sum is: only then is each looked at
+    if not sums.max() <= LARGEST:
+        z = np.exp(np.minimum(h @ weights.T, MOST))
+        sums = z @ ONES[: len(weights)]
+    sums += np.float32(1e-30)
+    return z, sums, own
+
+
+def _log_share(h: np.ndarray, weights: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Logarithms of each row's share at `own`."""
+    _, sums, score = _exponentials(h, weights, EACH[: len(h)] * len(weights) + own)
+    return score - np.log(sums)
+
+
+def _slopes(h: np.ndarray, weights: np.ndarray, own: np.ndarray, rate: float, back: np.ndarray) -> np.ndarray:
+    """The slope of the loss by the weights, times `rate`; that by the states goes to `back`. The exponentials are left as they are: their sums divide the narrower factor of each product."""
+    e, sums, _ = _exponentials(h, weights)
+    e.reshape(-1)[EACH[: len(h)] * len(weights) + own] -= sums
+    sums = (1 / sums)[:, None]
+    np.matmul(e, weights[:, :WIDTH], out=back)
+    back *= sums
+    sums *= np.float32(rate)
+    return e.T @ (h * sums)
 
 
 def train(docs: DataFrame, words: Vocabulary, text_col: str | None = "text", id_col: str = "doc_id", rounds: int = ROUNDS, share: int | None = None) -> Network:
