@@ -25,23 +25,29 @@ def grouped(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BY
         yield pa.concat_batches(held)
 
 
-def assemble(chunks: pa.ListArray, ids_of: Callable[[list[str]], list[bytes]], skip_first: bool = False) -> list[bytes]:
+def assemble(chunks: pa.ListArray, ids_of: Callable[[list[str]], list[bytes] | tuple[np.ndarray, np.ndarray]], skip_first: bool = False) -> list[bytes]:
     """Ids of each row of `chunks`, joined from the ids of its chunks (32-bit, as bytes).
 
-    `ids_of` gets each distinct chunk once. With `skip_first` a row's first
-    chunk is left out.
+    `ids_of` gets each distinct chunk once, and gives the ids of each or all ids
+    and how many each has. With `skip_first` a row's first chunk is left out.
     """
     values = chunks.flatten()
     bounds = chunks.offsets.to_numpy().astype(np.int64) - chunks.offsets[0].as_py()
+    if skip_first:
+        kept = np.ones(len(values), bool)
+        kept[bounds[:-1][bounds[:-1] < bounds[1:]]] = False
+        values = values.filter(pa.array(kept))
+        bounds = np.concatenate([[0], np.cumsum(kept)])[bounds]
     coded = values.dictionary_encode()
     index = coded.indices.to_numpy(zero_copy_only=False)
     own = ids_of(coded.dictionary.to_pylist())
-    size = np.fromiter(map(len, own), np.int64, len(own)) // 4
-    flat = np.frombuffer(b"".join(own), "<u4")
+    if isinstance(own, tuple):
+        flat, size = own
+    else:
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat = np.frombuffer(b"".join(own), "<u4")
     begin = np.concatenate([[0], np.cumsum(size)])
     count = size[index]
-    if skip_first:
-        count[bounds[:-1][bounds[:-1] < bounds[1:]]] = 0
     ends = np.concatenate([[0], np.cumsum(count)])
     out = flat[np.repeat(begin[:-1][index] - ends[:-1], count) + np.arange(ends[-1])].astype("<u4", copy=False)
     cut = ends[bounds].tolist()

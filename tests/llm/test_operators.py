@@ -326,6 +326,65 @@ def test_byte_bpe_odd_spaces():
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == reference_ids(texts)
 
 
+def test_byte_bpe_heaps_side_by_side():
+    """Words merged side by side get the ids of `merge` and of tiktoken, at every length and with equal pairs in a row."""
+    import pyarrow as pa
+
+    rnd = random.Random(8)
+    own = byte_bpe.codec(byte_bpe.default_vocabulary(), byte_bpe.default_pattern())
+    bits = ["a", "b", " ", "er", "tion", "\u00e9", "\u4e2d", "\U0001f600", "0", "-"]
+    words = ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 60))).encode() for _ in range(12000)]
+    words += [c * n for c in (b"a", b" ", b"ab", b"\xff", b"\xe4\xb8") for n in range(1, 140)]
+    words = [w[:128] for w in words if len(w) > 1] + [w[: rnd.randint(2, 20)] for w in words if len(w) > 1]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    length = np.array([len(w) for w in words])
+    flat, size = own.heaps.merge(data, np.cumsum(length) - length, length)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(size)[:-1])] == [byte_bpe.merge(w, own.rank) for w in words]
+    assert [x.tolist() for x in own.heaps.merge(data, length[:0], length[:0])] == [[], []]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 90))) for _ in range(2000)] + ["".join(rnd.choice("er\u00e9\u4e2dtion") for _ in range(n)) for n in range(20, 300)] + ["", "a" * 5000, "\n b"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(pa.array(texts))] == reference_ids(texts)
+    for none in ([], [""], ["", ""]):
+        got = own.encode(pa.array(none, pa.string()))
+        assert got == [b""] * len(none)
+        assert own.decode(got).to_pylist() == got
+    with pytest.raises(ValueError, match="32-bit"):
+        own.decode([b"12345"])
+
+
+def test_byte_bpe_without_every_byte(tmp_path):
+    """A vocabulary that lacks bytes, and has gaps, is merged by `merge` alone."""
+    import pyarrow as pa
+
+    path = tmp_path / "few.tiktoken"
+    ranks = {0: b"a", 1: b"b", 2: b" ", 5: b"ab", 9: b"aab", 11: b" a"}
+    path.write_text("".join(f"{base64.b64encode(w).decode()} {r}\n" for r, w in ranks.items()))
+    own = byte_bpe.Codec(str(path), byte_bpe.default_pattern())
+    assert own.heaps is None
+    got = own.encode(pa.array(["aab aabab", "ab", "b a ab"]))
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [[9, 2, 9, 5], [5], [1, 11, 2, 5]]
+    assert own.decode(got).to_pylist() == [b"aab aabab", b"ab", b"b a ab"]
+
+
+def test_byte_bpe_new_words_are_cheaper_than_their_merges():
+    """Encoding words that are all new takes less than merging each by a heap of its own."""
+    import time
+
+    import pyarrow as pa
+
+    rnd = random.Random(9)
+    parts = "er tion an he ou sch ic qu au \u00e9e \u00f1o ing le st".split()
+    words = list({"".join(rnd.choice(parts) for _ in range(rnd.randint(3, 7))) for _ in range(60000)})
+    own = byte_bpe.codec(byte_bpe.default_vocabulary(), byte_bpe.default_pattern())
+    texts = pa.array([" ".join(words[k : k + 100]) for k in range(0, len(words), 100)])
+    raw = [b" " + w.encode() for w in words]
+    took = []
+    for run in (lambda: own.encode(texts), lambda: [byte_bpe.merge(w, own.rank) for w in raw]):
+        at = time.process_time()
+        run()
+        took.append(time.process_time() - at)
+    assert took[0] < took[1], took
+
+
 def test_perfect_hash_is_minimal():
     keys = [f"k{i}".encode() for i in range(2000)]
     table = byte_bpe.PerfectHash(keys)
